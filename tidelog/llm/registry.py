@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidelog.llm import chat, packing, quality
+from tidelog.llm import chat, ngram_join, packing, quality, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_chat_format": chat.op2_chat_format,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
 }
 
 SQL = {

@@ -28,8 +28,9 @@ from tidelog.llm.common import ship, table
 #: About how many documents are learnt from, at most.
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 3000, 9000
 BITS, PREFIXES = 18, (4, 5)
-#: A feature is used if that many sampled positives hold it, and if it is that much more frequent among them.
-MIN_POSITIVES, MIN_LIFT = 4, 2.0
+#: A feature is used if that many sampled positives hold it, if it is that much more frequent among them
+#: than in unlabelled text (1 / prior at most), and by that many standard deviations.
+MIN_POSITIVES, MIN_LIFT, MIN_DEVIATIONS = 4, 3.0, 4.0
 ROUNDS, RATE, DECAY = 150, 0.3, 1e-4
 CACHE_WORDS = 600_000
 
@@ -72,9 +73,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def distinct(rows: list[np.ndarray]) -> np.ndarray:
+    """Indices of rows without near copies of earlier ones, which would pass the words of one text for evidence: 8 bands of 3 min-hashes."""
+    rng = np.random.default_rng(5)
+    odd = rng.integers(1, 1 << 62, 24, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    seen: set[tuple] = set()
+    keep = []
+    with np.errstate(over="ignore"):
+        for i, r in enumerate(rows):
+            h = ((r.astype(np.uint64)[:, None] + np.uint64(1)) * odd) >> np.uint64(20)
+            low = h.min(axis=0) if len(r) else np.zeros(24, np.uint64)
+            bands = [(k, *low[3 * k : 3 * k + 3].tolist()) for k in range(8)]
+            if not any(x in seen for x in bands):
+                keep.append(i)
+            seen.update(bands)
+    return np.array(keep, int)
+
+
 def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float) -> Model:
-    """Non-negative PU risk with the logistic loss, by full-batch Adam; a step ascends where the corrected part is negative."""
+    """Non-negative PU risk with the sigmoid loss, by full-batch Adam; a step ascends where the corrected part is negative."""
     size = 1 << BITS
+    one = distinct(rows)
+    rows, positive = [rows[i] for i in one], positive[one]
     weights = np.zeros(size)
     if not positive.any() or positive.all():
         return Model(-1e3, weights)
@@ -84,24 +104,25 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float) -> Model:
     n_p, n_u = positive.sum(), (~positive).sum()
     in_p = np.bincount(flat[positive[owner]], minlength=size)
     in_u = np.bincount(flat[~positive[owner]], minlength=size)
-    used = (in_p >= MIN_POSITIVES) & (in_p / n_p >= MIN_LIFT * (in_u + 1) / (n_u + 1))
+    expected = n_p * (in_u + 1) / (n_u + 1)
+    used = (in_p >= MIN_POSITIVES) & (in_p >= MIN_LIFT * expected) & (in_p - expected >= MIN_DEVIATIONS * np.sqrt(expected + 0.5))
     keep = used[flat]
     flat, owner = flat[keep], owner[keep]
     features, flat = np.unique(flat, return_inverse=True)
-    w, b = np.zeros(len(features)), -2.0
+    w, b = np.zeros(len(features)), -1.0
     m, v = np.zeros(len(features) + 1), np.zeros(len(features) + 1)
     for step in range(1, ROUNDS + 1):
         z = b + np.bincount(owner, weights=w[flat], minlength=len(rows))
-        p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        loss_minus = np.logaddexp(0, z)  # of being called positive when negative
-        negative_risk = loss_minus[~positive].mean() - prior * loss_minus[positive].mean()
+        p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))  # the sigmoid loss of being called positive; bounded, so long documents can't rule
+        slope = p * (1 - p)
+        negative_risk = p[~positive].mean() - prior * p[positive].mean()
         g = np.zeros(len(rows))
         if negative_risk >= 0:
-            g[positive] = prior * (p[positive] - 1) / n_p - prior * p[positive] / n_p
-            g[~positive] = p[~positive] / n_u
+            g[positive] = -2 * prior * slope[positive] / n_p
+            g[~positive] = slope[~positive] / n_u
         else:
-            g[positive] = prior * p[positive] / n_p
-            g[~positive] = -p[~positive] / n_u
+            g[positive] = prior * slope[positive] / n_p
+            g[~positive] = -slope[~positive] / n_u
         grad = np.r_[np.bincount(flat, weights=g[owner], minlength=len(features)) + DECAY * w, g.sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
