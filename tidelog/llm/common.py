@@ -76,3 +76,23 @@ def text_words(text: Column) -> Column:
     """The words of a text, an empty array for null or blank texts."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))
+
+
+def stream_groups(batches, keys: list[str]):
+    """(key, rows as a DataFrame) for each run of equal keys of batches sorted by them, runs across batches whole."""
+    import pandas as pd
+
+    key, held = None, []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        parts = list(zip(*[pdf[k].tolist() for k in keys]))
+        starts = [0, *[i for i in range(1, len(parts)) if parts[i] != parts[i - 1]], len(parts)]
+        for i, j in zip(starts, starts[1:]):
+            if parts[i] != key:
+                if held:
+                    yield key, pd.concat(held, ignore_index=True)
+                key, held = parts[i], []
+            held.append(pdf.iloc[i:j])
+    if held:
+        yield key, pd.concat(held, ignore_index=True)
