@@ -17,87 +17,98 @@ capacity is cut into full pieces, the last may be shorter.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import Scratch, ship, table
 
-#: Words whose ids a Python worker remembers; at the limit it forgets all and starts again.
-CACHE_WORDS = 600_000
-#: A control character that the tokenizer always makes one id of: it parts unknown words.
-MARK = b"\x01"
+#: Words, and stems, whose ids a Python worker remembers; at the limit it forgets all and starts again.
+CACHE_WORDS = 150_000
 
-_words: dict[tuple[str, bytes], bytes] = {}
+#: A lower-case Latin-1 word with ASCII punctuation after it: the tokenizer splits just there.
+_PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
 _loaded: dict = {}
 
 
-def _tokenizer(path: str):
-    if path not in _loaded:
+class WordEncoder:
+    """Ids of texts, word by word.
+
+    Words hold no white space and the pre-tokenizer never crosses it, so each stands alone. Plain words
+    go straight to the BPE model, in the byte alphabet it is written in; all else takes the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-
-        _loaded[path] = Tokenizer.from_file(path)
-        _words.clear()
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        split = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.alphabet = {ord(c): split.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(97, 123), *range(0xDF, 0x100)])}
+
+    def full(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def part(self, text: str, plain: bool) -> bytes:
+        got = self.parts.get(text)
+        if got is None:
+            if len(self.parts) > CACHE_WORDS:
+                self.parts.clear()
+            got = self.parts[text] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(text.translate(self.alphabet))]) if plain else self.full(text)
+        return got
+
+    def word(self, data: bytes) -> bytes:
+        text = data.decode()
+        found = _PLAIN.fullmatch(text.lower())
+        if found and b"<|" not in data:
+            return self.part(found[1], True) + (self.part(found[2], False) if found[2] else b"")
+        return self.full(text)
+
+    def text(self, text: str | None) -> bytes:
+        """The little-endian 32-bit ids of a text."""
+        data = (text or "").encode("utf-8", "replace")
+        if b"<|" not in data:  # the tokenizer lower-cases all but its special tokens
+            data = data.lower()
+        words, cache = data.split(), self.words
+        try:
+            return b"".join([cache[w] for w in words])
+        except KeyError:
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+            for w in words:
+                if w not in cache:
+                    cache[w] = self.word(w)
+            return b"".join([cache[w] for w in words])
+
+
+def encoder(path: str) -> WordEncoder:
+    if path not in _loaded:
+        _loaded[path] = WordEncoder(path)
     return _loaded[path]
 
 
-def encode_words(tokenizer, words: list[bytes], cache: dict[bytes, bytes]) -> None:
-    """Puts the little-endian 32-bit ids of each word in the cache.
-
-    Words hold no white space and the pre-tokenizer never crosses it, so each stands alone. Unknown
-    words are encoded in runs, parted by MARK.
-    """
-    import numpy as np
-
-    mark = tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
-    plain = [w for w in words if MARK not in w and b"<|" not in w] if len(mark) == 1 else []
-    for start in range(0, len(plain), 2000):
-        run = plain[start : start + 2000]
-        ids = np.array(tokenizer.encode((b" " + MARK + b" ").join(run).decode(), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(ids == mark[0])
-        if len(cuts) != len(run) - 1:
-            plain = []
-            break
-        data, begin = ids.tobytes(), 0
-        for w, end in zip(run, [*(cuts * 4).tolist(), len(data)]):
-            cache[w] = data[begin:end]
-            begin = end + 4
-    for w in words if not plain else [w for w in words if w not in cache]:
-        cache[w] = np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-
-def encode_text(tokenizer, text: str | None, cache: dict[bytes, bytes]) -> bytes:
-    data = (text or "").encode("utf-8", "replace")
-    if b"<|" not in data:  # the tokenizer lower-cases all but its special tokens
-        data = data.lower()
-    words = data.split()
-    try:
-        return b"".join([cache[w] for w in words])
-    except KeyError:
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        encode_words(tokenizer, list({w for w in words if w not in cache}), cache)
-        return b"".join([cache[w] for w in words])
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and its end id, cut at the capacity."""
     ship(docs.sparkSession)
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = _tokenizer(tokenizer_path)
+        encode = encoder(tokenizer_path).text
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = encode_text(tokenizer, text, _words) + end
+                ids = encode(text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
