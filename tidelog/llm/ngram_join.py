@@ -35,7 +35,7 @@ MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Sets in the sample that finds hot shingles, and the share of them that makes one hot.
 SAMPLE_SETS, HOT_SHARE = 4096, 0.02
 #: Shingles a counting task gets about; sets and shingles of a block; sets of a matrix group.
-BUCKET_SHINGLES, BLOCK_SETS, BLOCK_SHINGLES, GROUP_SETS = 1_000_000, 512, 1_000_000, 16
+BUCKET_SHINGLES, BLOCK_SETS, BLOCK_SHINGLES, GROUP_SETS = 3_000_000, 512, 1_000_000, 16
 CHUNK_SETS = 2000
 #: doc_ids from here on stand for null.
 NULL_ID = 1 << 62
@@ -72,20 +72,20 @@ def need(n, t: int):
 
 
 def set_table(docs: DataFrame, n: int, sampled_of: int) -> DataFrame:
-    """(doc_id, id, n_shingles, sid, sample): sid null for empty sets; sample: the shingles, for one set in sampled_of."""
+    """(doc_id, id, text_hash, n_shingles, sid, sample): sid null for empty sets; sample: the shingles, for one set in sampled_of."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for i, text in zip(pdf["id"], pdf["text"]):
+            for i, text_hash, text in zip(pdf["id"], pdf["text_hash"], pdf["text"]):
                 s = shingle_set(text, n)
                 sid = set_id(s) if len(s) else None
-                rows.append((i, len(s), sid, s.tobytes() if sid is not None and sid % sampled_of == 0 else None))
-            got = pd.DataFrame(rows, columns=["id", "n_shingles", "sid", "sample"])
-            yield got.assign(sid=pd.array([r[2] for r in rows], "Int64"))
+                rows.append((i, text_hash, len(s), sid, s.tobytes() if sid is not None and sid % sampled_of == 0 else None))
+            got = pd.DataFrame(rows, columns=["id", "text_hash", "n_shingles", "sid", "sample"])
+            yield got.assign(sid=pd.array([r[3] for r in rows], "Int64"))
 
-    found = docs.select("id", "text").mapInPandas(run, "id long, n_shingles long, sid long, sample binary")
+    found = docs.select("id", "text_hash", "text").mapInPandas(run, "id long, text_hash long, n_shingles long, sid long, sample binary")
     return found.withColumn("doc_id", F.when(F.col("id") < NULL_ID, F.col("id")))
 
 
@@ -127,14 +127,14 @@ def _low(tokens: np.ndarray) -> np.ndarray:
     return np.unique(tokens >> np.uint64(16))
 
 
-BLOB = "bucket int, sids binary, sizes binary, at binary, tokens binary, hot_tokens binary, hot_sids binary"
+BLOB = "bucket int, sids binary, at binary, tokens binary, own_sids binary, own_sizes binary, hot_tokens binary, hot_sids binary"
 
 
 def pack_tokens(docs: DataFrame, n: int, t: int, buckets: int, hot: np.ndarray) -> DataFrame:
     """Each chunk's (set, shingle) entries, dealt to buckets by shingle as packed arrays.
 
-    sizes: light shingles of the set, and how many of the order's first it must post. Sets whose
-    prefix reaches the hot shingles post those right here.
+    own_sizes, sent to one bucket only: light shingles of the set, and how many of the order's first it
+    must post. Sets whose prefix reaches the hot shingles post those right here.
     """
     hot_low = np.unique(hot >> np.uint64(16))
 
@@ -174,16 +174,17 @@ def _deal(sids, sizes, light, post_t, post_s, buckets: int) -> pd.DataFrame:
     tokens, at, cuts = tokens[order], at[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
     hot_t, hot_s = (np.concatenate(post_t), np.concatenate(post_s)) if post_t else (np.empty(0, np.uint64), np.empty(0, np.int64))
     hot_bucket = (hot_t % np.uint64(buckets)).astype(np.int32)
+    home = sids % buckets
     rows = []
     for b in range(buckets):
         i, j = cuts[b], cuts[b + 1]
-        h = hot_bucket == b
-        if i == j and not h.any():
+        h, own = hot_bucket == b, home == b
+        if i == j and not h.any() and not own.any():
             continue
         used, local = np.unique(at[i:j], return_inverse=True)
         six = tokens[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-        rows.append((b, sids[used].tobytes(), sizes[used].tobytes(), local.astype(np.uint16).tobytes(), six, hot_t[h].tobytes(), hot_s[h].tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "sids", "sizes", "at", "tokens", "hot_tokens", "hot_sids"])
+        rows.append((b, sids[used].tobytes(), local.astype(np.uint16).tobytes(), six, sids[own].tobytes(), sizes[own].tobytes(), hot_t[h].tobytes(), hot_s[h].tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "sids", "at", "tokens", "own_sids", "own_sizes", "hot_tokens", "hot_sids"])
 
 
 def _eight(six: bytes) -> np.ndarray:
@@ -192,43 +193,37 @@ def _eight(six: bytes) -> np.ndarray:
     return a.view("<u8").ravel()
 
 
-SHARED = "deal int, sids binary, sizes binary, at binary, tokens binary, counts binary, hot_tokens binary, hot_sids binary"
+SHARED = "deal int, sids binary, at binary, tokens binary, counts binary, own_sids binary, own_sizes binary, hot_tokens binary, hot_sids binary"
 
 
 def count_tokens(blobs: DataFrame, deals: int) -> DataFrame:
     """From each bucket, the entries whose shingle two sets or more have, with min(255, that number), dealt by set."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts_t, parts_s, known_s, known_n = [], [], [], []
-        for sids, sizes, at, six in zip(pdf["sids"], pdf["sizes"], pdf["at"], pdf["tokens"]):
-            sids = np.frombuffer(sids, np.int64)
-            known_s.append(sids)
-            known_n.append(np.frombuffer(sizes, np.int32).reshape(-1, 2))
-            parts_t.append(_eight(six))
-            parts_s.append(sids[np.frombuffer(at, np.uint16)])
-        known, first = np.unique(np.concatenate(known_s), return_index=True)
-        sizes = np.concatenate(known_n)[first]
-        tokens, who = np.concatenate(parts_t), np.searchsorted(known, np.concatenate(parts_s)).astype(np.uint32)
+        parts = [np.frombuffer(x, np.int64) for x in pdf["sids"]]
+        known = np.unique(np.concatenate(parts))
+        tokens = np.concatenate([_eight(x) for x in pdf["tokens"]])
+        who = np.concatenate([np.searchsorted(known, s)[np.frombuffer(at, np.uint16)] for s, at in zip(parts, pdf["at"])]).astype(np.uint32)
         order = np.lexsort((who, tokens))
         tokens, who = tokens[order], who[order]
         fresh = np.ones(len(tokens), bool)
         fresh[1:] = (tokens[1:] != tokens[:-1]) | (who[1:] != who[:-1])  # the same set from several tasks
         tokens, who = tokens[fresh], who[fresh]
         starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.empty(0, int)
-        count = np.repeat(np.diff(np.r_[starts, len(tokens)]), np.diff(np.r_[starts, len(tokens)]))
+        each = np.diff(np.r_[starts, len(tokens)])
+        count = np.repeat(each, each)
         keep = count > 1
         tokens, who, count = tokens[keep], who[keep], np.minimum(count[keep], 255).astype(np.uint8)
-        deal = (known % deals).astype(np.int32)
+        cells = _by((known % deals).astype(np.int32)[who], who)
+        own_s, own_n = np.frombuffer(b"".join(pdf["own_sids"]), np.int64), np.frombuffer(b"".join(pdf["own_sizes"]), np.int32).reshape(-1, 2)
+        hot_t, hot_s = np.frombuffer(b"".join(pdf["hot_tokens"]), np.uint64), np.frombuffer(b"".join(pdf["hot_sids"]), np.int64)
         rows = []
-        for d, (at, used) in _by(deal[who], who).items():
-            rows.append((d, known[used].tobytes(), sizes[used].tobytes(), np.searchsorted(used, who[at]).astype(np.uint32).tobytes(), tokens[at].tobytes(), count[at].tobytes(), b"", b""))
-        hot_t = np.frombuffer(b"".join(pdf["hot_tokens"]), np.uint64)
-        hot_s = np.frombuffer(b"".join(pdf["hot_sids"]), np.int64)
-        hot_deal = (hot_s % deals).astype(np.int32)
-        for d in np.unique(hot_deal):
-            h = hot_deal == d
-            rows.append((int(d), b"", b"", b"", b"", b"", hot_t[h].tobytes(), hot_s[h].tobytes()))
-        return pd.DataFrame(rows, columns=["deal", "sids", "sizes", "at", "tokens", "counts", "hot_tokens", "hot_sids"])
+        for d in sorted(cells.keys() | set((own_s % deals).tolist()) | set((hot_s % deals).tolist())):
+            at, used = cells.get(d, (np.empty(0, int), np.empty(0, int)))
+            own, hot = own_s % deals == d, hot_s % deals == d
+            six = tokens[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+            rows.append((d, known[used].tobytes(), np.searchsorted(used, who[at]).astype(np.uint32).tobytes(), six, count[at].tobytes(), own_s[own].tobytes(), own_n[own].tobytes(), hot_t[hot].tobytes(), hot_s[hot].tobytes()))
+        return pd.DataFrame(rows, columns=["deal", "sids", "at", "tokens", "counts", "own_sids", "own_sizes", "hot_tokens", "hot_sids"])
 
     return blobs.groupBy("bucket").applyInPandas(run, SHARED)
 
@@ -243,17 +238,11 @@ def post_prefixes(shared: DataFrame) -> DataFrame:
     """(token, a, b): the prefix shingles of sets, one row for each shingle and deal, with token null for links inside a deal."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = np.unique(np.frombuffer(b"".join(pdf["sids"]), np.int64))
-        light, prefix, tokens, who, counts = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64), [], [], []
-        for sids, sizes, at, t, c in zip(pdf["sids"], pdf["sizes"], pdf["at"], pdf["tokens"], pdf["counts"]):
-            if not sids:
-                continue
-            place = np.searchsorted(known, np.frombuffer(sids, np.int64))
-            size = np.frombuffer(sizes, np.int32).reshape(-1, 2)
-            light[place], prefix[place] = size[:, 0], size[:, 1]
-            who.append(place[np.frombuffer(at, np.uint32)])
-            tokens.append(np.frombuffer(t, np.uint64))
-            counts.append(np.frombuffer(c, np.uint8))
+        known, first = np.unique(np.frombuffer(b"".join(pdf["own_sids"]), np.int64), return_index=True)
+        light, prefix = np.frombuffer(b"".join(pdf["own_sizes"]), np.int32).reshape(-1, 2)[first].astype(np.int64).T
+        who = [np.searchsorted(known, np.frombuffer(s, np.int64))[np.frombuffer(at, np.uint32)] for s, at in zip(pdf["sids"], pdf["at"]) if s]
+        tokens = [_eight(t) for t in pdf["tokens"]]
+        counts = [np.frombuffer(c, np.uint8) for c in pdf["counts"]]
         out_t = [np.frombuffer(b"".join(pdf["hot_tokens"]), np.uint64)]
         out_s = [np.frombuffer(b"".join(pdf["hot_sids"]), np.int64)]
         if who:
@@ -376,12 +365,13 @@ def verify(units: DataFrame, n: int, t: int) -> DataFrame:
     return units.mapInPandas(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of docs; linked where 100 |A & B| >= t |A | B|."""
+def _labelled(docs: DataFrame, n: int, t: int) -> DataFrame:
+    """A row for each row of docs: doc_id, id, text_hash, n_shingles, sid, group (smallest sid reachable) and low (its smallest id)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     # A null doc_id gets an id by its text, above all others.
-    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_ID) + F.shiftrightunsigned(F.xxhash64("text"), 3)).alias("id"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    docs = docs.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID) + F.shiftrightunsigned("text_hash", 3)))
     total = docs.count()
     found = scratch.write(set_table(docs, n, max(1, total // SAMPLE_SETS)), "sets")
     hot = hot_shingles(found)
@@ -389,8 +379,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
     shingles = found.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(32, shingles // BUCKET_SHINGLES)
 
-    posted = post_prefixes(count_tokens(pack_tokens(docs, n, t, buckets, hot), buckets))
-    posted = scratch.write(posted, "posted")
+    posted = scratch.write(post_prefixes(count_tokens(pack_tokens(docs, n, t, buckets, hot), buckets)), "posted")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = posted.repartition(parts, F.coalesce("token", "a")).sortWithinPartitions("token")
     clusters = connected_components(_forest(dealt), "jaccard-clusters").select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
@@ -398,17 +387,32 @@ def jaccard_components(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
     members = scratch.write(clusters.join(sets, "sid"), "members")
     blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("many")).where("many > 1")
     members = members.join(blocks, "cluster").select("cluster", "sid", "rep", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"))
-    texts = docs.join(members, F.col("id") == F.col("rep")).select("cluster", "sid", "blocks", "block", "text")
+    # Merged in every case: it splits hot clusters, and the plan is the same at every size.
+    texts = docs.join(members.hint("merge"), F.col("id") == F.col("rep")).select("cluster", "sid", "blocks", "block", "text")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     units = texts.withColumn("other", other).select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "sid", "text")
     units = units.repartition(parts, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
     links = scratch.write(verify(units, n, t), "links")
     grouped = connected_components(links, "jaccard-links")
     named = grouped.join(sets.withColumnRenamed("sid", "node"), "node").groupBy("component").agg(F.min("rep").alias("low"))
-    low = grouped.join(named, "component").select(F.col("node").alias("sid"), "low")
-    by_set = sets.join(low, "sid", "left").select("sid", F.coalesce("low", "rep").alias("component"))
-    out = found.join(by_set, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("component_id", F.when(F.col("component_id") < NULL_ID, F.col("component_id")))
+    low = grouped.join(named, "component").select(F.col("node").alias("sid"), F.col("component").alias("group"), "low")
+    by_set = sets.join(low, "sid", "left").select("sid", F.coalesce("group", "sid").alias("group"), F.coalesce("low", "rep").alias("low"))
+    return found.join(by_set, "sid", "left").select("doc_id", "id", "text_hash", "n_shingles", "sid", "group", "low")
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each row of docs; linked where 100 |A & B| >= t |A | B|."""
+    component = F.coalesce("low", "doc_id")
+    return _labelled(docs, n, t).select("doc_id", "n_shingles", F.when(component < NULL_ID, component).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
+    """One document of each component, that with the smallest doc_id, with all its columns; documents without shingles all stay."""
+    labelled = _labelled(docs, n, t)
+    first = labelled.where("sid is not null").groupBy("group").agg(F.min(F.struct("id", "text_hash")).alias("k")).select("k.id", "k.text_hash")
+    keys = first.unionByName(labelled.where("sid is null").select("id", "text_hash").distinct()).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
+    marked = docs.withColumn("__hash", F.xxhash64("text")).withColumn("__id", F.coalesce("doc_id", F.lit(NULL_ID) + F.shiftrightunsigned("__hash", 3)))
+    return marked.join(keys, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
