@@ -1,28 +1,56 @@
-"""Corpus pipeline: quality rules, then later stages. Each stage takes (spark, docs, sf_dir)."""
+"""Corpus pipeline: quality rules, toxicity, near duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before it kept; all but the last
+return the columns of documents. `run` writes each stage's result to the shared folder and reads it again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm import packing, quality
+from tidelog.llm import ngram_join, packing, quality, toxicity
+from tidelog.llm.common import Scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
     return quality.filter_quality(docs)
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score below a half; learnt from these documents and the labels that may be learnt from."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return docs.withColumn("__score", toxicity.score_column(model, F.col("text"))).where("__score < 0.5").drop("__score")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a similarity of 0.8 or more."""
+    return ngram_join.keep_one(docs, n=5, t=80)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces, each with its sequence and offset."""
     import public_tokenizers
 
     return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
-STAGES = [("quality", quality_stage), ("packing", packing_stage)]
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("ngram_jaccard", near_duplicate_stage),
+    ("best_fit_packing", packing_stage),
+]
+#: Learnt scores and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "pipeline")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = scratch.write(docs, name)
     return docs
