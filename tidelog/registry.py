@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tidelog.queries import QUERIES, SQL
+
 FLAGSHIP = "current_view"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
