@@ -20,6 +20,7 @@ end of the page is dropped; <br> is white space.
 from __future__ import annotations
 
 import html as html_lib
+import json
 import re
 from collections.abc import Iterator
 
@@ -28,10 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import ship, stream_groups, table
+from tidelog.llm.common import Scratch, ship, stream_groups, table
 
 RUN = 8
-SHARD_PAGES, SHARD_BYTES = 1024, 16_000_000
+SHARD_PAGES, SHARD_BYTES = 512, 8_000_000
 MAIN, NEUTRAL, BOILER = 0, 1, 2
 
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
@@ -211,9 +212,13 @@ def recurring(streams: list[tuple[int, list[str]]], run: int = RUN) -> list[np.n
 
 def shard_texts(pages: list[str]) -> list[str]:
     """Main texts of one shard's pages."""
-    parsed = [page_blocks(p) for p in pages]
-    one: dict[str, int] = {}
-    which = [one.setdefault(p, i) for i, p in enumerate(pages)]
+    return kept_texts([page_blocks(p) for p in pages])
+
+
+def kept_texts(parsed: list[list[tuple[int, str]]]) -> list[str]:
+    """Main texts of the parsed pages of one shard."""
+    one: dict[tuple, int] = {}
+    which = [one.setdefault(tuple(map(tuple, p)), i) for i, p in enumerate(parsed)]
     streams, place = [], {}
     for i, blocks in enumerate(parsed):
         for j, (context, text) in enumerate(blocks):
@@ -244,16 +249,31 @@ def extract_text(pages: DataFrame) -> DataFrame:
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)))
     sizes = pages.groupBy("host").agg(F.greatest(F.ceil(F.count("*") / SHARD_PAGES), F.ceil(F.sum(F.octet_length("html")) / SHARD_BYTES)).cast("int").alias("shards")).where("shards > 1")
-    # Spark broadcasts the large hosts' table if its measured size allows, and else splits skewed partitions.
+    # Written first, so that Spark knows its size: it is broadcast only if that allows, and pages are shuffled once.
+    sizes = Scratch(pages.sparkSession, "html").write(sizes, "hosts")
     dealt = pages.join(sizes, "host", "left").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))).cast("int"))
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select("host", "shard", "page_id", "url", "html").repartition(parts, "host", "shard").sortWithinPartitions("host", "shard")
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pages travel to their shard as compressed blocks, without markup."""
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for pdf in batches:
+            blocks = [squeeze.compress(json.dumps(page_blocks(h)).encode("utf-8", "surrogatepass")) for h in pdf["html"]]
+            yield pdf.drop(columns="html").assign(page_id=pdf["page_id"].astype("Int64"), blocks=blocks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        loosen = zstandard.ZstdDecompressor()
         for _, pdf in stream_groups(batches, ["host", "shard"]):
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": shard_texts(pdf["html"].tolist())})
+            parsed = [json.loads(loosen.decompress(b)) for b in pdf["blocks"]]
+            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": kept_texts(parsed)})
 
-    return dealt.mapInPandas(run, "page_id long, url string, text string")
+    packed = dealt.select("host", "shard", "page_id", "url", "html").mapInPandas(parse, "host string, shard int, page_id long, url string, blocks binary")
+    packed = packed.repartition(parts, "host", "shard").sortWithinPartitions("host", "shard")
+    return packed.mapInPandas(run, "page_id long, url string, text string")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
