@@ -70,7 +70,8 @@ class Model:
     def scores(self, texts, cache: dict) -> np.ndarray:
         used = self.weights != 0
         z = np.array([self.bias + self.weights[text_features(t, cache, used)].sum() for t in texts], float)
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(-z))
 
 
 def distinct(rows: list[np.ndarray]) -> np.ndarray:
@@ -97,7 +98,7 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float) -> Model:
     rows, positive = [rows[i] for i in one], positive[one]
     weights = np.zeros(size)
     if not positive.any() or positive.all():
-        return Model(-1e3, weights)
+        return Model(-np.inf, weights)
     lengths = np.array([len(r) for r in rows])
     flat = np.concatenate(rows)
     owner = np.repeat(np.arange(len(rows)), lengths)
@@ -141,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, n_positive: int = SAMPLE_POSITIVE,
     n, toxic = marks.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
     total = docs.count()
     if not toxic or not total:
-        return Model(-1e3, np.zeros(1 << BITS))
+        return Model(-np.inf, np.zeros(1 << BITS))
 
     def share(of: int, rest: int) -> Column:
         return F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < int(min(1.0, of / max(1, rest)) * (1 << 20))
@@ -158,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, n_positive: int = SAMPLE_POSITIVE,
     # `chosen` holds about n_positive + n_unlabelled ids, whatever the input.
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc_id long, y int, f binary").toPandas()
     if sample.empty:
-        return Model(-1e3, np.zeros(1 << BITS))
+        return Model(-np.inf, np.zeros(1 << BITS))
     sample = sample.sort_values(["doc_id", "f"])  # one order, one model
     return fit([np.frombuffer(f, np.int32).astype(np.int64) for f in sample["f"]], sample["y"].to_numpy() == 1, toxic / n)
 
