@@ -7,7 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.operators import consensus
 from tidelog.operators.views import current
+from tidelog.plans.cluster import Cluster, Config
 from tidelog.plans.facade import COMMANDS, Session, command_specs
 from tidelog.plans.store import Store
 from tidelog.schema import CorruptRecord, StoreError, TooLarge
@@ -139,6 +141,23 @@ def test_login(store):
     assert s.execute(["AUTH", "wrong"])[0] == "-" and s.execute(["AUTH", "secret"]) == ("+", "OK") and s.execute(["GET", "a"]) is None
 
 
+def test_cluster_commands(spark, store):
+    cluster = Cluster("a", [(1, Config(("a", "b")))], {"a": 5, "b": 3}, 2, "a")
+    do = Session(store, cluster=cluster).execute
+    assert do(["CLUSTER", "MYID"]) == b"a" and do(["CLUSTER", "PEERS"]) == [[b"b", 3]] and b"voters:2" in do(["CLUSTER", "INFO"])
+    assert do(["CLUSTER", "ADDLEARNER", "c"]) == ("+", "OK") and do(["CLUSTER", "NODES"]) == [b"a voter", b"b voter", b"c learner"]
+    assert do(["CLUSTER", "PROMOTE", "c"]) == ("+", "OK") and cluster.config == Config(("a", "b", "c"), ("a", "b"))
+    assert do(["CLUSTER", "REMOVENODE", "b"]) == ("-", "ERR a membership change is under way")
+    cluster.change(cluster.config.finished())
+    assert do(["CLUSTER", "REMOVENODE", "b"]) == ("+", "OK") and cluster.config.voters == ("a", "c")
+    assert cluster.configurations(spark).count() == 5 and consensus.invalid_configs(cluster.configurations(spark)).count() == 0
+    cluster.leader = "b"
+    assert do(["CLUSTER", "ADDNODE", "d"])[1].startswith("NOTLEADER the leader is b")
+    assert Session(store, cluster=cluster).health() == (200, "ok") and "tables: 0" in Session(store).stats_text()
+    with pytest.raises(StoreError):
+        Config(("a",), (), ("a",))
+
+
 def test_command_specs(spark):
     assert command_specs(spark).count() == 35
 

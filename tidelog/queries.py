@@ -371,9 +371,9 @@ def _(spark, d):
     return compaction.pick_level(_manifest(spark, d), base=1_000_000).select("level", F.round("score", 6).alias("score"))
 
 
-@query("level_targets", "SELECT n_nationkey AS level, least(16777216 * power(10::DOUBLE, n_nationkey - 1), 9223372036854775807)::HUGEINT::VARCHAR AS target FROM nation WHERE n_nationkey BETWEEN 1 AND 9")
+@query("level_targets", "SELECT n_nationkey + 1 AS level, CASE WHEN n_nationkey < 12 THEN CAST(16777216 * CAST(power(10, n_nationkey) AS HUGEINT) AS VARCHAR) ELSE '9223372036854775807' END AS target FROM nation")
 def _(spark, d):
-    n = adapters.read(spark, d, "nation").select(F.col("n_nationkey").alias("level")).where("level BETWEEN 1 AND 9")
+    n = adapters.read(spark, d, "nation").select((F.col("n_nationkey") + 1).alias("level"))
     return compaction.level_targets(n).select("level", F.col("target").cast("string").alias("target"))
 
 
@@ -497,10 +497,9 @@ def _(spark, d):
     return got.agg(F.count("*").alias("stored"), F.count_if(~F.col("maybe")).alias("missed"))
 
 
-@query("humanised_sizes", "SELECT doc_id, CASE WHEN strlen(text) < 1024 THEN printf('%.0f B', strlen(text)::DOUBLE) ELSE printf('%.1f KiB', round(strlen(text) / 1024.0::DOUBLE, 1)) END AS size FROM documents WHERE strlen(text) < 1048576")
+@query("humanised_sizes", "SELECT doc_id, CASE WHEN strlen(text) < 1024 THEN printf('%.0f B', strlen(text)::DOUBLE) WHEN strlen(text) < 1048576 THEN printf('%.1f KiB', round(strlen(text) / 1024.0::DOUBLE, 1)) ELSE printf('%.1f MiB', round(strlen(text) / 1048576.0::DOUBLE, 1)) END AS size FROM documents")
 def _(spark, d):
-    t = adapters.read(spark, d, "documents").where(F.octet_length("text") < 1048576)
-    return t.select("doc_id", K.humanised(F.octet_length("text")).alias("size"))
+    return adapters.read(spark, d, "documents").select("doc_id", K.humanised(F.octet_length("text")).alias("size"))
 
 
 @query("deterministic_payload", "SELECT s_suppkey, left('key:' || lpad(CAST(s_suppkey AS VARCHAR), 12, '0') || '|' || repeat('abcdefghijklmnopqrstuvwxyz', 5), 64) AS value FROM supplier")
@@ -611,10 +610,9 @@ def _(spark, d):
     return consensus.committed(p, configs, log, terms)
 
 
-@query("quorum_sizes", "SELECT n_nationkey, ((n_nationkey % 7) // 2 + 1)::INT AS quorum FROM nation WHERE n_nationkey % 7 > 0")
+@query("quorum_sizes", "SELECT n_nationkey, ((n_nationkey + 1) // 2 + 1)::INT AS quorum FROM nation")
 def _(spark, d):
-    n = adapters.read(spark, d, "nation").where("n_nationkey % 7 > 0")
-    return n.select("n_nationkey", consensus.quorum_size(F.sequence(F.lit(1), F.col("n_nationkey") % 7)).alias("quorum"))
+    return adapters.read(spark, d, "nation").select("n_nationkey", consensus.quorum_size(F.sequence(F.lit(0), F.col("n_nationkey"))).alias("quorum"))
 
 
 @query("quorum_subsets", """WITH s AS (SELECT i AS subset, list_filter(['a', 'b', 'c', 'd', 'e'], lambda x, k: (i >> (k - 1)) & 1 = 1) AS granted FROM range(32) t(i))
@@ -653,18 +651,22 @@ def _(spark, d):
     return consensus.log_matches(probes, _raft(spark, d).where("node = 'n0'"), 100, 1)
 
 
-@query("follower_append", """WITH e AS (SELECT event_id + 1 AS index, event_id // 500 + 1 AS term FROM events WHERE event_id < 2000),
-i AS (SELECT event_id + 1 AS index, CASE WHEN event_id < 1500 THEN event_id // 500 + 1 ELSE 99 END AS term FROM events WHERE event_id BETWEEN 900 AND 1700)
-SELECT index, term FROM e WHERE index < 1501 UNION ALL SELECT index, term FROM i WHERE index >= 1501""")
+@query("follower_append", """WITH e AS (SELECT event_id + 1 AS index, event_id // 500 + 1 AS term FROM events),
+i AS (SELECT index, CASE WHEN index <= 1500 THEN term ELSE term + 1 END AS term FROM e WHERE index > 900 AND index <= (SELECT max(index) - 20 FROM e)),
+cut AS (SELECT min(e.index) AS cut FROM e JOIN i USING (index) WHERE e.term <> i.term)
+SELECT index, term FROM e, cut WHERE cut IS NULL OR index < cut UNION ALL SELECT index, term FROM i, cut WHERE index >= cut""")
 def _(spark, d):
-    log = _raft(spark, d).where("node = 'n0'").select("index", "term")
-    incoming = log.where("index BETWEEN 901 AND 1701").withColumn("term", F.when(F.col("index") <= 1500, F.col("term")).otherwise(99).cast("bigint"))
-    return consensus.follower_append(log.where("index <= 2000"), incoming, 0)
+    """The leader resends from entry 901 to a follower whose entries have other terms from 1501 on."""
+    log = _raft(spark, d).select("node", "index", "term")
+    incoming = log.where("node = 'n2' AND index > 900").select("index", F.when(F.col("index") <= 1500, F.col("term")).otherwise(F.col("term") + 1).alias("term"))
+    return consensus.follower_append(log.where("node = 'n0'").select("index", "term"), incoming, 0)
 
 
-@query("append_gaps", "SELECT event_id + 1 AS index FROM events WHERE event_id % 100 = 41")
+@query("append_gaps", """WITH e AS (SELECT event_id + 1 AS index FROM events WHERE event_type <> 'error')
+SELECT index FROM e WHERE index - 1 NOT IN (SELECT index FROM e) AND index > (SELECT min(index) FROM e)""")
 def _(spark, d):
-    return consensus.append_gaps(_raft(spark, d).where("node = 'n0' AND index % 100 <> 41").select("index"))
+    """A log that lost its error events."""
+    return consensus.append_gaps(_events(spark, d).where("event_type <> 'error'").select((F.col("event_id") + 1).alias("index")))
 
 
 CONFIGS = "g AS (SELECT event_id + 1 AS index, ['n' || event_id % 5, 'n' || (event_id + 1) % 5, 'n' || (event_id + 2) % 5] AS voters, CASE WHEN event_id % 2 = 0 THEN ['n' || (event_id + 3) % 5] ELSE [] END AS outgoing, ['n' || (event_id * 2) % 5] AS learners FROM events WHERE event_id % 333 = 0 AND event_id % 500 <> 0)"
