@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.shared import shared_dir, ship
+
+__all__ = ["SPACE", "Scratch", "let", "shared_dir", "ship", "stream_groups", "table", "text_words"]
+
 #: ASCII white space; a word is a longest run of other characters.
 SPACE = " \t\n\x0b\f\r"
 
@@ -19,32 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a context: their Python workers need not have it on their path."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tidelog_shipped", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    folder = tempfile.mkdtemp(prefix="tidelog-ship-")
-    with zipfile.ZipFile(target := os.path.join(folder, f"{package.name}.zip"), "w") as z:
-        for f in package.rglob("*.py"):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(target)
-    sc._tidelog_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can see: spark.checkpoint.dir.
-
-    Only where the session names none (tests on one machine) is a folder made.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 class Scratch:
     """Named Parquet tables in the shared folder, which cut lineage and outlive lost executors."""
 

@@ -46,9 +46,12 @@ SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 BOILER_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|captcha|comments?|respond|replies|disqus|cookies?|consent|gdpr|copyright|credits|"
-    r"footer|foot|header|masthead|menus?|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|modal|overlay|promos?|promotion|related|recommended|"
-    r"search|share|sharing|shares|sidebars?|side|signup|login|skip|skyscraper|social|sponsors?|sponsored|subscribe|subscription|tags|toolbar|topbar|widgets?)(?:$|[\s_-])"
+    r"commentlist|footer|masthead|menus?|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|modal|overlay|promos?|promotion|related|recommended|"
+    r"search|share|sharing|sidebars?|signup|login|skyscraper|social|sponsors?|sponsored|subscribe|subscription|toolbar|topbar|widgets?|adsbygoogle)(?:$|[\s_-])"
 )
+#: A header is boilerplate outside main text; inside it holds the title.
+HEADER_NAME = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 MAIN_NAME = re.compile(r"(?:^|\s)(?:article|article-body|article-content|post-content|entry-content|main-content|story-body|post-body)(?:$|\s)")
 
@@ -62,16 +65,16 @@ def _context(tag: str, attributes: str, outer: int, in_main: bool) -> int:
     names = role = ""
     if attributes and "=" in attributes:
         for k, v in _ATTRIBUTE.findall(attributes):
-            k, v = k.lower(), v.strip("\"'").lower()
+            k, v = k.lower(), v.strip("\"'")
             if k in ("class", "id"):
-                names += " " + v
+                names += " " + _CAMEL.sub("-", v).lower()
             elif k == "role":
-                role = v
-            elif k in ("hidden", "aria-hidden") and v in ("", "true", "hidden"):
+                role = v.lower()
+            elif k in ("hidden", "aria-hidden") and v.lower() in ("", "true", "hidden"):
                 return BOILER
     if tag in BOILER_TAGS or role in BOILER_ROLES or (tag == "header" and not in_main):
         return BOILER
-    if names and tag not in ("html", "body", "article", "main") and BOILER_NAME.search(names):
+    if names and tag not in ("html", "body", "article", "main") and (BOILER_NAME.search(names) or (not in_main and HEADER_NAME.search(names))):
         return BOILER
     if tag == "article" and names and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", names):
         return BOILER
