@@ -28,7 +28,7 @@ def test_labels_of_the_held_out_fold_change_nothing(spark, sf):
     one = toxicity.train(docs, labels)
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     two = toxicity.train(docs, flipped)
-    assert one.bias == two.bias and (one.weights == two.weights).all()
+    assert one.bias == two.bias and one.features.tolist() == two.features.tolist() and one.weights.tolist() == two.weights.tolist()
 
 
 def test_fit_finds_the_words_of_the_positives():
@@ -36,24 +36,40 @@ def test_fit_finds_the_words_of_the_positives():
     rows, positive = [], []
     for i in range(1500):
         toxic = i % 10 == 0
-        r = set(rng.integers(0, 5000, 40).tolist()) | ({9000 + int(rng.integers(0, 5))} if toxic else set())
+        r = set(rng.integers(0, 60, 10).tolist()) | ({60 + int(rng.integers(0, 5))} if toxic else set())
         rows.append(np.array(sorted(r)))
         positive.append(toxic and i % 20 == 0)  # half of the toxic ones are unlabelled
-    model = toxicity.fit(rows, np.array(positive), 0.1)
-    z = np.array([model.bias + model.weights[r].sum() for r in rows])
+    positive = np.array(positive)
+    in_p, in_u = (np.bincount(np.concatenate([r for r, y in zip(rows, positive) if y == k]), minlength=65) for k in (True, False))
+    used = toxicity.telling(in_p, positive.sum(), in_u, (~positive).sum())
+    assert set(np.flatnonzero(used).tolist()) <= set(range(60, 65)) and used.sum() >= 4
+    bias, weights = toxicity.fit([r[r >= 60] - 60 for r in rows], positive, 0.1, 5)
+    z = np.array([bias + weights[r[r >= 60] - 60].sum() for r in rows])
     toxic = np.arange(1500) % 10 == 0
     assert (z[toxic] > 0).mean() > 0.9 and (z[~toxic] > 0).mean() < 0.02
 
 
+def test_only_features_far_from_chance_are_used():
+    in_p, in_u = np.array([90, 30, 5, 10, 300]), np.array([90, 900, 20, 0, 3000])
+    assert toxicity.telling(in_p, 300, in_u, 9000).tolist() == [True, False, False, True, False]
+
+
 def test_near_copies_count_once():
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 1 << 18, 300))
     copies = [np.unique(np.r_[base[rng.random(len(base)) > 0.03], rng.integers(0, 1 << 18, 5)]) for _ in range(30)]
     others = [np.unique(rng.integers(0, 1 << 18, 300)) for _ in range(30)]
-    kept = toxicity.distinct(copies + others)
+    kept = toxicity.distinct([toxicity.bands(x) for x in copies + others])
     assert (kept < 30).sum() <= 2 and (kept >= 30).sum() == 30
 
 
+def test_shared_beginnings_count():
+    f = lambda t: set(toxicity.text_features(t, {}).tolist())
+    assert len(f("achlicha")) == len(toxicity.PREFIXES) + 1 and f("achlicha achlicha,") == f("achlicha")
+    two = f("achlicha achlichb")
+    assert sum(x % 4 == 1 for x in two) == 4 and f("") == f(None) == set()
+
+
 def test_odd_documents(spark, odd, no_docs):
     labels = spark.createDataFrame([(1, 1), (1, 0), (4, None), (None, 1), (6, 1)], "doc_id bigint, toxic int")
     model = toxicity.train(odd, labels)

@@ -23,95 +23,103 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import ship, table
+from tidelog.llm.common import Scratch, ship, table
 
 #: About how many documents are learnt from, at most.
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 3000, 9000
-BITS, PREFIXES = 18, (4, 5)
-#: A feature is used if that many sampled positives hold it, if it is that much more frequent among them
-#: than in unlabelled text (1 / prior at most), and by that many standard deviations.
-MIN_POSITIVES, MIN_LIFT, MIN_DEVIATIONS = 4, 3.0, 4.0
-ROUNDS, RATE, DECAY = 150, 0.3, 1e-4
-CACHE_WORDS = 600_000
+BITS, PREFIXES = 30, (4, 5, 6, 7, 8)
+#: A beginning that so many distinct words of a text share makes features of its own.
+REPEATS = (1, 2, 4)
+#: A feature is used if that many sampled positives, and that share of them, hold it, if it is that much more
+#: frequent among them than in unlabelled text (1 / prior at most), and if its Poisson deviance from the count that
+#: unlabelled text lets expect is so large: of some 100,000 features tested, chance then passes hardly one.
+MIN_POSITIVES, MIN_SHARE, MIN_LIFT, MIN_DEVIANCE = 4, 0.02, 3.0, 25.0
+ROUNDS, RATE, DECAY = 400, 0.1, 1e-4
+CACHE_WORDS = 200_000
 
 _WORD = re.compile(r"\w+")
 
 
 def word_features(word: str) -> list[int]:
-    """Hashed features of a white-space-free string: its words and their first letters."""
+    """Hashes of a word and of its first letters."""
     from xxhash import xxh3_64_intdigest
 
-    found = set()
-    for w in _WORD.findall(word):
-        found.add("=" + w)
-        found.update(str(k) + w[:k] for k in PREFIXES if len(w) >= k)
-    return [xxh3_64_intdigest(x) & ((1 << BITS) - 1) for x in found]
+    return [xxh3_64_intdigest(x) & ((1 << BITS) - 1) for x in ("=" + word, *(str(k) + word[:k] for k in PREFIXES if len(word) >= k))]
 
 
-def text_features(text: str | None, cache: dict[str, tuple], used: np.ndarray | None = None) -> np.ndarray:
-    """Sorted distinct features of a text; with `used`, those only."""
-    found: set[int] = set()
-    for w in set((text or "").lower().split()):
+def text_features(text: str | None, cache: dict[str, tuple], used: dict[int, int] | None = None) -> np.ndarray:
+    """Sorted features of a text: four times a hash plus which of REPEATS its number of distinct words reaches.
+    With `used`, the places it gives to those that it holds."""
+    count: dict[int, int] = {}
+    for w in set(_WORD.findall((text or "").lower())):
         got = cache.get(w)
         if got is None:
             if len(cache) > CACHE_WORDS:
                 cache.clear()
-            got = cache[w] = tuple(f for f in word_features(w) if used is None or used[f])
-        if got:
-            found.update(got)
-    return np.array(sorted(found), np.int64)
+            got = word_features(w)
+            got = cache[w] = tuple(got) if used is None else tuple(f for f in got if any(4 * f + k in used for k in range(len(REPEATS))))
+        for f in got:
+            count[f] = count.get(f, 0) + 1
+    found = [4 * f + k for f, n in count.items() for k, least in enumerate(REPEATS) if n >= least]
+    return np.array(sorted(found if used is None else [used[f] for f in found if f in used]), np.int64)
 
 
 @dataclass
 class Model:
     bias: float
-    weights: np.ndarray  # 2**BITS, zero where not used
+    features: np.ndarray
+    weights: np.ndarray
 
     def scores(self, texts, cache: dict) -> np.ndarray:
-        used = self.weights != 0
+        used = {f: i for i, f in enumerate(self.features.tolist())}
         z = np.array([self.bias + self.weights[text_features(t, cache, used)].sum() for t in texts], float)
         with np.errstate(over="ignore"):
             return 1 / (1 + np.exp(-z))
 
 
-def distinct(rows: list[np.ndarray]) -> np.ndarray:
-    """Indices of rows without near copies of earlier ones, which would pass the words of one text for evidence: 8 bands of 3 min-hashes."""
-    rng = np.random.default_rng(5)
-    odd = rng.integers(1, 1 << 62, 24, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    seen: set[tuple] = set()
-    keep = []
+def nothing() -> Model:
+    """Scores 0 for every text."""
+    return Model(-np.inf, np.empty(0, np.int64), np.empty(0))
+
+
+_ODD = np.random.default_rng(5).integers(1, 1 << 62, 24, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(features: np.ndarray) -> bytes:
+    """8 bands of 3 min-hashes, as 64 bits each."""
     with np.errstate(over="ignore"):
-        for i, r in enumerate(rows):
-            h = ((r.astype(np.uint64)[:, None] + np.uint64(1)) * odd) >> np.uint64(20)
-            low = h.min(axis=0) if len(r) else np.zeros(24, np.uint64)
-            bands = [(k, *low[3 * k : 3 * k + 3].tolist()) for k in range(8)]
-            if not any(x in seen for x in bands):
-                keep.append(i)
-            seen.update(bands)
+        low = (((features.astype(np.uint64)[:, None] + np.uint64(1)) * _ODD) >> np.uint64(20)).min(axis=0) if len(features) else np.zeros(24, np.uint64)
+        low = low.reshape(8, 3)
+        return ((low[:, 0] * _ODD[0] + low[:, 1]) * _ODD[1] + low[:, 2] * _ODD[2] + np.arange(8, dtype=np.uint64)).tobytes()
+
+
+def distinct(signatures: list[bytes]) -> np.ndarray:
+    """Indices of rows without near copies of earlier ones, which would pass the words of one text for evidence."""
+    seen: set[int] = set()
+    keep = []
+    for i, s in enumerate(signatures):
+        mine = np.frombuffer(s, np.uint64).tolist()
+        if not seen.intersection(mine):
+            keep.append(i)
+        seen.update(mine)
     return np.array(keep, int)
 
 
-def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float) -> Model:
-    """Non-negative PU risk with the sigmoid loss, by full-batch Adam; a step ascends where the corrected part is negative."""
-    size = 1 << BITS
-    one = distinct(rows)
-    rows, positive = [rows[i] for i in one], positive[one]
-    weights = np.zeros(size)
-    if not positive.any() or positive.all():
-        return Model(-np.inf, weights)
-    lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    n_p, n_u = positive.sum(), (~positive).sum()
-    in_p = np.bincount(flat[positive[owner]], minlength=size)
-    in_u = np.bincount(flat[~positive[owner]], minlength=size)
+def telling(in_p: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int) -> np.ndarray:
+    """Mask of features whose count among positives is far from what unlabelled text lets expect."""
     expected = n_p * (in_u + 1) / (n_u + 1)
-    used = (in_p >= MIN_POSITIVES) & (in_p >= MIN_LIFT * expected) & (in_p - expected >= MIN_DEVIATIONS * np.sqrt(expected + 0.5))
-    keep = used[flat]
-    flat, owner = flat[keep], owner[keep]
-    features, flat = np.unique(flat, return_inverse=True)
-    w, b = np.zeros(len(features)), -1.0
-    m, v = np.zeros(len(features) + 1), np.zeros(len(features) + 1)
+    deviance = 2 * (in_p * np.log(np.maximum(in_p, 1) / expected) - (in_p - expected))
+    return (in_p >= MIN_LIFT * expected) & (deviance >= MIN_DEVIANCE)
+
+
+def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, n_features: int) -> tuple[float, np.ndarray]:
+    """(bias, weights) from rows of feature places: non-negative PU risk with the sigmoid loss, by full-batch Adam; a step ascends where
+    the corrected part is negative."""
+    n_p, n_u = positive.sum(), (~positive).sum()
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = np.concatenate(rows).astype(int)
+    w, b = np.ones(n_features), -2.0  # the features were chosen as telling; from 0, all negative would be a trap
+    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, ROUNDS + 1):
         z = b + np.bincount(owner, weights=w[flat], minlength=len(rows))
         p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))  # the sigmoid loss of being called positive; bounded, so long documents can't rule
@@ -124,12 +132,26 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float) -> Model:
         else:
             g[positive] = prior * slope[positive] / n_p
             g[~positive] = -slope[~positive] / n_u
-        grad = np.r_[np.bincount(flat, weights=g[owner], minlength=len(features)) + DECAY * w, g.sum()]
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        grad = np.r_[np.bincount(flat, weights=g[owner], minlength=n_features) + DECAY * w, g.sum()]
+        m, v = 0.9 * m + 0.1 * grad, 0.95 * v + 0.05 * grad**2
+        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.95**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
-    weights[features] = w
-    return Model(float(b), weights)
+    z = b + np.bincount(owner, weights=w[flat], minlength=len(rows))
+    # Weak evidence leaves z below 0 for some; the boundary is moved down to the gap, never up.
+    return float(b) - min(0.0, cut_point(z, positive, prior)), w
+
+
+def cut_point(z: np.ndarray, positive: np.ndarray, prior: float) -> float:
+    """Where to part the classes: the least corrected 0-1 risk 2 pi P_p(z < c) + P_u(z > c), in the middle of the widest gap that has it."""
+    values = np.unique(z)
+    if len(values) < 2:
+        return 0.0
+    cuts = (values[1:] + values[:-1]) / 2
+    missed = np.searchsorted(np.sort(z[positive]), cuts) / positive.sum()
+    called = 1 - np.searchsorted(np.sort(z[~positive]), cuts) / (~positive).sum()
+    risk = 2 * prior * missed + called
+    gap = np.where(risk <= risk.min() + 1e-12, np.diff(values), -1)
+    return float(cuts[gap.argmax()])
 
 
 def held_out() -> Column:
@@ -142,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, n_positive: int = SAMPLE_POSITIVE,
     n, toxic = marks.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
     total = docs.count()
     if not toxic or not total:
-        return Model(-np.inf, np.zeros(1 << BITS))
+        return nothing()
 
     def share(of: int, rest: int) -> Column:
         return F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < int(min(1.0, of / max(1, rest)) * (1 << 20))
@@ -151,17 +173,51 @@ def train(docs: DataFrame, labels: DataFrame, n_positive: int = SAMPLE_POSITIVE,
     some = docs.select("doc_id").where("doc_id is not null").where(~held_out() & share(n_unlabelled, total)).distinct()
     chosen = yes.where(share(n_positive, toxic)).withColumn("y", F.lit(1)).unionByName(some.join(yes, "doc_id", "left_anti").withColumn("y", F.lit(0)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # `chosen` holds about n_positive + n_unlabelled ids, whatever the input; so does the sample.
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = Scratch(docs.sparkSession, "toxicity").write(sample.withColumn("row", F.xxhash64("doc_id", "text")).dropDuplicates(["row"]).repartition(8), "sample")
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, tuple] = {}
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "f": [text_features(t, cache).astype(np.int32).tobytes() for t in pdf["text"]]})
-
-    # `chosen` holds about n_positive + n_unlabelled ids, whatever the input.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc_id long, y int, f binary").toPandas()
-    if sample.empty:
-        return Model(-np.inf, np.zeros(1 << BITS))
-    sample = sample.sort_values(["doc_id", "f"])  # one order, one model
-    return fit([np.frombuffer(f, np.int32).astype(np.int64) for f in sample["f"]], sample["y"].to_numpy() == 1, toxic / n)
+            made = [text_features(t, cache) for t in pdf["text"]]
+            yield pd.DataFrame({"row": pdf["row"], "y": pdf["y"], "bands": [bands(f) for f in made], "f": [f.astype(np.uint32).tobytes() if y else b"" for f, y in zip(made, pdf["y"])]})
+
+    rows = sample.mapInPandas(sign, "row long, y int, bands binary, f binary").toPandas().sort_values(["y", "row"], ascending=[False, True])
+    if rows.empty:
+        return nothing()
+    rows = rows.iloc[distinct(rows["bands"].tolist())]
+    kept, positive = set(rows["row"].tolist()), rows["y"].to_numpy() == 1
+    n_p, n_u = int(positive.sum()), int((~positive).sum())
+    if not n_p or not n_u:
+        return nothing()
+    features, in_p = np.unique(np.concatenate([np.frombuffer(f, np.uint32) for f in rows["f"][positive]]), return_counts=True)
+    often = in_p >= max(MIN_POSITIVES, MIN_SHARE * n_p)
+    features, in_p = features[often].astype(np.int64), in_p[often]
+    del rows
+
+    def places(texts, used: dict[int, int], cache: dict) -> list[np.ndarray]:
+        return [text_features(t, cache, used) for t in texts]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used, cache, total = {f: i for i, f in enumerate(features.tolist())}, {}, np.zeros(len(features), np.int64)
+        for pdf in batches:
+            for at in places(pdf["text"][[r in kept and not y for r, y in zip(pdf["row"], pdf["y"])]], used, cache):
+                total[at] += 1
+        yield pd.DataFrame({"counts": [total.tobytes()]})
+
+    in_u = sum((np.frombuffer(r[0], np.int64) for r in sample.mapInPandas(count, "counts binary").collect()), np.zeros(len(features), np.int64))
+    features = features[telling(in_p, n_p, in_u, n_u)]
+
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used, cache = {f: i for i, f in enumerate(features.tolist())}, {}
+        for pdf in batches:
+            pdf = pdf[[r in kept for r in pdf["row"]]]
+            yield pd.DataFrame({"row": pdf["row"], "y": pdf["y"], "at": [x.astype(np.int32).tobytes() for x in places(pdf["text"], used, cache)]})
+
+    held = sample.mapInPandas(hold, "row long, y int, at binary").toPandas().sort_values("row")  # one order, one model
+    bias, weights = fit([np.frombuffer(x, np.int32) for x in held["at"]], held["y"].to_numpy() == 1, toxic / n, len(features))
+    return Model(bias, features, weights)
 
 
 def score_column(model: Model, text: Column) -> Column:
