@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before it kept; all but the last
 return the columns of documents. `run` writes each stage's result to the shared folder and reads it again.
+
+Defined results: null, empty and blank texts are rejected by the quality rules; a row with a null doc_id passes
+the filters like any other and stays unless its near-duplicate group holds a doc_id; of repeated rows one stays;
+very long texts are treated whole; an empty table gives empty stages; further columns pass through the filters.
 """
 
 from __future__ import annotations
