@@ -35,7 +35,7 @@ MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Sets in the sample that finds hot shingles, and the share of them that makes one hot.
 SAMPLE_SETS, HOT_SHARE = 4096, 0.02
 #: Shingles a counting task gets about; sets and shingles of a block; sets of a matrix group.
-BUCKET_SHINGLES, BLOCK_SETS, BLOCK_SHINGLES, GROUP_SETS = 3_000_000, 512, 1_000_000, 16
+BUCKET_SHINGLES, BLOCK_SETS, BLOCK_SHINGLES, GROUP_SETS = 1_500_000, 512, 1_000_000, 16
 CHUNK_SETS = 2000
 #: doc_ids from here on stand for null.
 NULL_ID = 1 << 62
