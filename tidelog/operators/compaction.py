@@ -14,7 +14,7 @@ MAX_PASSES = 64
 
 def oldest_visible(pins: DataFrame, log: DataFrame) -> DataFrame:
     """(seq): the least pinned sequence, or the newest of the log."""
-    return pins.agg(F.min("seq").alias("pin")).crossJoin(log.agg(F.max("seq").alias("top"))).select(F.coalesce("pin", "top").alias("seq"))
+    return pins.agg(F.coalesce(F.min("seq"), log.agg(F.max("seq")).scalar()).alias("seq"))
 
 
 def marked(log: DataFrame, oldest: int) -> DataFrame:

@@ -64,15 +64,19 @@ def log_matching_violations(log: DataFrame) -> DataFrame:
     at = log.groupBy("index").agg(F.min("term").alias("t0"), F.max("term").alias("t1"))
     cut = at.where("t0 <> t1").agg(F.min("index").alias("cut"))
     same = log.withColumn("e", entry).groupBy("index", "term").agg(F.min("e").alias("e0"), F.max("e").alias("e1"))
-    # cut is one row.
-    return same.where("e0 <> e1").crossJoin(F.broadcast(cut)).where("cut IS NULL OR index < cut").select("index", "term")
+    return same.where("e0 <> e1").where(_before(cut)).select("index", "term")
+
+
+def _before(cut: DataFrame) -> Column:
+    """index below the one value of `cut`, or no value: a scalar subquery."""
+    return F.coalesce(F.col("index") < cut.scalar(), F.lit(True))
 
 
 def follower_append(local: DataFrame, incoming: DataFrame, snapshot_index: int) -> DataFrame:
     """The log after an append: entries within the snapshot are ignored, the first conflicting term cuts the rest, equal entries stay."""
     fresh = incoming.where(F.col("index") > snapshot_index)
     cut = fresh.alias("i").join(local.alias("l"), "index").where("i.term <> l.term").agg(F.min("index").alias("cut"))
-    kept = local.crossJoin(F.broadcast(cut)).where("cut IS NULL OR index < cut").drop("cut")
+    kept = local.where(_before(cut))
     return kept.unionByName(fresh.join(kept.select("index"), "index", "left_anti").select(kept.columns))
 
 
@@ -80,7 +84,7 @@ def append_gaps(log: DataFrame) -> DataFrame:
     """(index) whose predecessor is missing though lower entries exist: an append after a gap is refused."""
     low = log.agg(F.min("index").alias("low"))
     after = log.select((F.col("index") + 1).alias("index"))
-    return log.select("index").join(after, "index", "left_anti").crossJoin(F.broadcast(low)).where("index > low").select("index")
+    return log.select("index").join(after, "index", "left_anti").where(F.col("index") > low.scalar())
 
 
 def latest_config(log: DataFrame, configs: DataFrame, up_to: int | None = None) -> DataFrame:

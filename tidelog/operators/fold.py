@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.keys import counter_value
+from tidelog.shared import stable
 
 SLICE = 4096
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -131,7 +132,7 @@ def fold_exact(commands: DataFrame) -> DataFrame:
 def fold(commands: DataFrame) -> DataFrame:
     """(key, value) of the live keys after all commands."""
     rows = valid(commands)
-    applied = segments(rows)
+    applied = stable(segments(rows))  # read three times below
     unsafe = needs_exact(applied)
     exact = fold_exact(rows.join(unsafe, "key", "left_semi"))
     closed = fold_closed(applied.join(unsafe, "key", "left_anti"))

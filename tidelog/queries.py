@@ -189,9 +189,8 @@ def _(spark, d):
 def _(spark, d):
     log = _log(spark, d)
     n, ops = reads.deletions(log, _wanted(spark, d), 10_000_000)
-    after = views.current(log.select("key", "seq", "kind", "value").unionByName(ops)).agg(F.count("*").alias("left_over"))
-    # Each side is one row.
-    return n.select(F.col("n").alias("replied")).crossJoin(ops.agg(F.count("*").alias("tombstones"))).crossJoin(after)
+    after = views.current(log.select("key", "seq", "kind", "value").unionByName(ops)).agg(F.count("*"))
+    return n.select(F.col("n").alias("replied"), ops.agg(F.count("*")).scalar().alias("tombstones"), after.scalar().alias("left_over"))
 
 
 @query("strlen_bytes", f"WITH {CUR}, {WANTED} SELECT pos, w.key, coalesce(strlen(value), 0)::BIGINT AS n_bytes FROM wanted w LEFT JOIN cur ON cur.key = w.key")
@@ -427,8 +426,8 @@ def _(spark, d):
 SELECT round(greatest(0, least(1, 1 - live / data)), 9) AS stale_ratio, (data >= 1000 AND 1 - live / data >= 0.5) AS compact FROM x""")
 def _(spark, d):
     log = _log(spark, d)
-    data = log.agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).alias("data_bytes"))
-    stats = compaction.live_bytes(views.current(log)).crossJoin(data)  # one row each
+    data = log.agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))))
+    stats = compaction.live_bytes(views.current(log)).withColumn("data_bytes", data.scalar())
     return compaction.should_compact(stats, minimum=1000).select(F.round(compaction.stale_ratio("live_bytes", "data_bytes"), 9).alias("stale_ratio"), "compact")
 
 

@@ -27,9 +27,16 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of an Arrow batch at most, so that a Python worker holds little text at a time.
+ARROW_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a context: their Python workers need not have it on their path."""
     sc = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
     if getattr(sc, "_tidelog_shipped", False):
         return
     package = Path(__file__).resolve().parent

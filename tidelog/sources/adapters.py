@@ -87,9 +87,9 @@ def sample_raft_log(events: DataFrame, nodes: int = 3) -> DataFrame:
     n = F.col("event_id") + 1
     rows = events.select(n.alias("index"), (F.floor(F.col("event_id") / 500) + 1).cast("bigint").alias("term"), F.when(F.col("event_id") % 500 == 0, 1).when(F.col("event_id") % 333 == 0, 2).otherwise(0).cast("tinyint").alias("entry_kind"), F.col("props").alias("body"), F.col("event_id"))
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(nodes - 1))))
-    top = events.agg(F.max("event_id").alias("top"))
+    top = events.agg(F.max("event_id")).scalar()
     odd = (F.col("k") == nodes - 1) & (F.col("event_id") % 997 == 13)
-    return rows.crossJoin(F.broadcast(top)).where(F.col("event_id") <= F.col("top") - 10 * F.col("k")).select(F.concat(F.lit("n"), F.col("k").cast("string")).alias("node"), "index", "term", "entry_kind", F.when(odd, F.concat("body", F.lit("!"))).otherwise(F.col("body")).alias("command"))
+    return rows.where(F.col("event_id") <= top - 10 * F.col("k")).select(F.concat(F.lit("n"), F.col("k").cast("string")).alias("node"), "index", "term", "entry_kind", F.when(odd, F.concat("body", F.lit("!"))).otherwise(F.col("body")).alias("command"))
 
 
 def sample_progress(events: DataFrame) -> DataFrame:
