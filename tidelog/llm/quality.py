@@ -26,34 +26,33 @@ WINDOW = 5
 SAMPLE_ROWS = 400
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.translate(F.coalesce(text, F.lit("")), SPACE, "")).cast("long")
+def word_chars(text: Column, words: Column) -> Column:
+    return F.length(F.translate(text, SPACE, "")).cast("long")
 
 
-def n_symbols(text: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
+def n_symbols(text: Column, words: Column) -> Column:
     return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
 
 
-def n_words(text: Column) -> Column:
-    return F.size(text_words(text)).cast("long")
+def n_words(text: Column, words: Column) -> Column:
+    return F.size(words).cast("long")
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
+    return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
 
 
-def n_lines(text: Column) -> Column:
+def n_lines(text: Column, words: Column) -> Column:
     return F.size(_lines(text)).cast("long")
 
 
-def n_dup_lines(text: Column) -> Column:
+def n_dup_lines(text: Column, words: Column) -> Column:
     return let(_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def n_repeat_words(text: Column, window: int = WINDOW) -> Column:
+def n_repeat_words(text: Column, words: Column, window: int = WINDOW) -> Column:
     """Words inside windows of `window` words that the text has twice or more."""
-    hashes = F.transform(text_words(text), lambda w: F.xxhash64(w))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
 
     def windows(h: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(window)]))
@@ -80,6 +79,12 @@ def n_repeat_words(text: Column, window: int = WINDOW) -> Column:
     return let(hashes, count).cast("long")
 
 
+def of_text(text: Column, body) -> Column:
+    """body(signal), where signal(name) is a signal's column; the text is read and cut into words once a row."""
+    return let(F.coalesce(text, F.lit("")), lambda t: let(text_words(t), lambda w: body(lambda name: SIGNALS[name](t, w))))
+
+
+#: Functions of the text, not null, and its words.
 SIGNALS = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_lines": n_lines, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words}
 
 
@@ -108,10 +113,9 @@ def rule_order(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) ->
     if not texts:
         return list(rules)
     held = docs.sparkSession.createDataFrame([(x,) for x in texts], "text string").coalesce(1)
-    text = F.col("text")
     score = {}
     for rule in rules:
-        rejects = rule.rejects(lambda name: SIGNALS[name](text))
+        rejects = of_text(F.col("text"), rule.rejects)
         began = time.perf_counter()
         n = held.select(F.sum(F.coalesce(rejects, F.lit(False)).cast("long")).alias("n")).collect()[0]["n"] or 0
         score[rule.name] = (n / len(texts) + 1e-4) / (time.perf_counter() - began)
@@ -128,9 +132,7 @@ def verdict(order: list[Rule], signal) -> Column:
 
 def quality_signals(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id, every signal, base_failed and kept."""
-    # A text is read once: signals come from a lambda variable, in one struct.
-    all_signals = F.transform(F.array(F.coalesce(F.col("text"), F.lit(""))), lambda t: F.struct(*[f(t).alias(k) for k, f in SIGNALS.items()]))[0]
-    got = docs.select("doc_id", all_signals.alias("__s"))
+    got = docs.select("doc_id", of_text(F.col("text"), lambda signal: F.struct(*[signal(k).alias(k) for k in SIGNALS])).alias("__s"))
     signal = lambda name: F.col(f"__s.{name}")
     base = (signal("n_words") < 10) | (100 * signal("n_repeat_words") > 20 * signal("n_words"))
     return got.select("doc_id", *[signal(k).alias(k) for k in SIGNALS], base.alias("base_failed"), (~base & verdict(rule_order(docs, rules), signal)).alias("kept"))
@@ -138,8 +140,8 @@ def quality_signals(docs: DataFrame, rules=RULES) -> DataFrame:
 
 def filter_quality(docs: DataFrame, rules=RULES) -> DataFrame:
     """The documents that no rule rejects, with all their columns."""
-    text = F.col("text")
-    return docs.filter(verdict(rule_order(docs, rules), lambda name: SIGNALS[name](text)))
+    order = rule_order(docs, rules)
+    return docs.filter(of_text(F.col("text"), lambda signal: verdict(order, signal)))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
