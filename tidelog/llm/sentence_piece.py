@@ -30,7 +30,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Units a worker remembers; characters above which a unit is merged alone.
 CACHE_UNITS, LONG = 250_000, 64
 
-_UNIT = re.compile(" *[^ ]+| +")
+#: A mark in the text itself counts as a space, as in the library.
+_UNIT = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
 _loaded: dict = {}
 
 
@@ -101,17 +102,21 @@ class Pieces:
         size = len(units[0])
         if size > LONG and self.bpe:
             return [self._merge_long(u) for u in units]
-        codes = np.array([list(map(ord, u)) for u in units], np.uint64)
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(units), size).astype(np.uint64)
         sums = self.sums(codes)
-        starts = (self._merge if self.bpe else self._viterbi)(sums, len(units), size)
-        out = []
-        for u, s in zip(units, starts):
-            cuts = np.flatnonzero(s).tolist()
-            ids: list[int] = []
-            for i, j in zip(cuts, [*cuts[1:], size]):
-                piece = self.by_text.get(u[i:j])
-                ids += [piece] if piece is not None else self.fallback(u[i:j])
-            out.append(np.array(ids, "<u4").tobytes())
+        row, start = np.nonzero((self._merge if self.bpe else self._viterbi)(sums, len(units), size))
+        after = np.r_[start[1:], 0]
+        length = np.where(np.r_[row[1:] != row[:-1], True], size, after) - start
+        ids = self.probe(sums, row, start, length)
+        cuts = np.searchsorted(row, np.arange(len(units) + 1)) * 4
+        data = np.maximum(ids, 0).astype("<u4").tobytes()
+        out = [data[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        for r in np.unique(row[ids < 0]).tolist():  # characters without a piece
+            i, j = cuts[r] // 4, cuts[r + 1] // 4
+            found: list[int] = []
+            for k, at, n in zip(ids[i:j].tolist(), start[i:j].tolist(), length[i:j].tolist()):
+                found += [k] if k >= 0 else self.fallback(units[r][at : at + n])
+            out[r] = np.array(found, "<u4").tobytes()
         return out
 
     def _viterbi(self, sums: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -215,13 +220,13 @@ class Pieces:
             step = max(1, 400_000 // len(same[0]))
             for i in range(0, len(same), step):
                 some = same[i : i + step]
-                self.cache.update(zip(some, self.encode_equal([u.replace(" ", SPACE_MARK) for u in some])))
+                self.cache.update(zip(some, self.encode_equal(some)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit bytes."""
         out: list[bytes] = []
         for i in range(0, len(texts), 500):
-            cut = [_UNIT.findall((" " if self.add_prefix else "") + t) if t else [] for t in texts[i : i + 500]]
+            cut = [_UNIT.findall(((" " if self.add_prefix else "") + t).replace(" ", SPACE_MARK)) if t else [] for t in texts[i : i + 500]]
             if len(self.cache) > CACHE_UNITS:
                 self.cache.clear()
             unseen = {u for c in cut for u in c if u not in self.cache}
