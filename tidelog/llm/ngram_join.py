@@ -385,6 +385,7 @@ def _labelled(docs: DataFrame, n: int, t: int) -> DataFrame:
     clusters = connected_components(_forest(dealt), "jaccard-clusters").select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
 
     members = scratch.write(clusters.join(sets, "sid"), "members")
+    scratch.drop("posted")
     blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("many")).where("many > 1")
     members = members.join(blocks, "cluster").select("cluster", "sid", "rep", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"))
     # Merged in every case: it splits hot clusters, and the plan is the same at every size.
@@ -394,6 +395,7 @@ def _labelled(docs: DataFrame, n: int, t: int) -> DataFrame:
     units = units.repartition(parts, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
     links = scratch.write(verify(units, n, t), "links")
     grouped = connected_components(links, "jaccard-links")
+    scratch.drop("links", "members")
     named = grouped.join(sets.withColumnRenamed("sid", "node"), "node").groupBy("component").agg(F.min("rep").alias("low"))
     low = grouped.join(named, "component").select(F.col("node").alias("sid"), F.col("component").alias("group"), "low")
     by_set = sets.join(low, "sid", "left").select("sid", F.coalesce("group", "sid").alias("group"), F.coalesce("low", "rep").alias("low"))

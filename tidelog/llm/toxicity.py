@@ -175,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, n_positive: int = SAMPLE_POSITIVE,
 
     # `chosen` holds about n_positive + n_unlabelled ids, whatever the input; so does the sample.
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = Scratch(docs.sparkSession, "toxicity").write(sample.withColumn("row", F.xxhash64("doc_id", "text")).dropDuplicates(["row"]).repartition(8), "sample")
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.write(sample.withColumn("row", F.xxhash64("doc_id", "text")).dropDuplicates(["row"]).repartition(8), "sample")
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, tuple] = {}
@@ -216,6 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, n_positive: int = SAMPLE_POSITIVE,
             yield pd.DataFrame({"row": pdf["row"], "y": pdf["y"], "at": [x.astype(np.int32).tobytes() for x in places(pdf["text"], used, cache)]})
 
     held = sample.mapInPandas(hold, "row long, y int, at binary").toPandas().sort_values("row")  # one order, one model
+    scratch.drop("sample")
     bias, weights = fit([np.frombuffer(x, np.int32) for x in held["at"]], held["y"].to_numpy() == 1, toxic / n, len(features))
     return Model(bias, features, weights)
 
