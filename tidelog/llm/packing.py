@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import Scratch, ship, table
 
 #: Words, and stems, whose ids a Python worker remembers; at the limit it forgets all and starts again.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 
 #: A lower-case Latin-1 word with ASCII punctuation after it: the tokenizer splits just there.
 _PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
@@ -81,15 +81,13 @@ class WordEncoder:
         if b"<|" not in data:  # the tokenizer lower-cases all but its special tokens
             data = data.lower()
         words, cache = data.split(), self.words
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
+        if unseen := set(words).difference(cache):
             if len(cache) > CACHE_WORDS:
                 cache.clear()
-            for w in words:
-                if w not in cache:
-                    cache[w] = self.word(w)
-            return b"".join([cache[w] for w in words])
+                unseen = set(words)
+            for w in unseen:
+                cache[w] = self.word(w)
+        return b"".join(map(cache.__getitem__, words))
 
 
 def encoder(path: str) -> WordEncoder:
