@@ -52,6 +52,25 @@ def text_words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))
 
 
+def released(run):
+    """The same batch function, after which the worker gives memory back to the system: it lives on for other stages."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        import pyarrow
+
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def stream_groups(batches, keys: list[str]):
     """(key, rows as a DataFrame) for each run of equal keys of batches sorted by them, runs across batches whole."""
     import pandas as pd

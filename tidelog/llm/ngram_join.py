@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, ship, table
+from tidelog.llm.common import Scratch, released, ship, table
 from tidelog.llm.graph import connected_components
 
 MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -85,7 +85,7 @@ def set_table(docs: DataFrame, n: int, sampled_of: int) -> DataFrame:
             got = pd.DataFrame(rows, columns=["id", "text_hash", "n_shingles", "sid", "sample"])
             yield got.assign(sid=pd.array([r[3] for r in rows], "Int64"))
 
-    found = docs.select("id", "text_hash", "text").mapInPandas(run, "id long, text_hash long, n_shingles long, sid long, sample binary")
+    found = docs.select("id", "text_hash", "text").mapInPandas(released(run), "id long, text_hash long, n_shingles long, sid long, sample binary")
     return found.withColumn("doc_id", F.when(F.col("id") < NULL_ID, F.col("id")))
 
 
@@ -163,7 +163,7 @@ def pack_tokens(docs: DataFrame, n: int, t: int, buckets: int, hot: np.ndarray)
                 if sids:
                     yield _deal(np.array(sids, np.int64), np.array(sizes, np.int32).reshape(-1, 2), light, post_t, post_s, buckets)
 
-    return docs.select("text").mapInPandas(run, BLOB)
+    return docs.select("text").mapInPandas(released(run), BLOB)
 
 
 def _deal(sids, sizes, light, post_t, post_s, buckets: int) -> pd.DataFrame:
@@ -362,7 +362,7 @@ def verify(units: DataFrame, n: int, t: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
         yield pd.DataFrame(unit(rows), columns=["a", "b"], dtype="int64")
 
-    return units.mapInPandas(run, "a long, b long")
+    return units.mapInPandas(released(run), "a long, b long")
 
 
 def _labelled(docs: DataFrame, n: int, t: int) -> DataFrame:

@@ -27,10 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, ship, table
+from tidelog.llm.common import Scratch, released, ship, table
 
-#: Words, and stems, whose ids a Python worker remembers; at the limit it forgets all and starts again.
-CACHE_WORDS = 300_000
+#: Words, and stems, whose ids a task remembers; at the limit it forgets all and starts again.
+CACHE_WORDS = 150_000
 
 #: A lower-case Latin-1 word with ASCII punctuation after it: the tokenizer splits just there.
 _PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
@@ -57,6 +57,9 @@ class WordEncoder:
         split = ByteLevel(add_prefix_space=False, use_regex=False)
         self.alphabet = {ord(c): split.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(97, 123), *range(0xDF, 0x100)])}
 
+    def forget(self) -> None:
+        self.words, self.parts = {}, {}
+
     def full(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -103,6 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer_path).text
+        encoder(tokenizer_path).forget()
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
@@ -113,8 +117,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
             got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             got["doc_id"] = got["doc_id"].astype("Int64")
             yield got
+        encoder(tokenizer_path).forget()
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInPandas(released(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def sweep_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

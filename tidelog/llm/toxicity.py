@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, ship, table
+from tidelog.llm.common import Scratch, released, ship, table
 
 #: About how many documents are learnt from, at most.
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 3000, 9000
@@ -35,7 +35,7 @@ REPEATS = (1, 2, 4)
 #: unlabelled text lets expect is so large: of some 100,000 features tested, chance then passes hardly one.
 MIN_POSITIVES, MIN_SHARE, MIN_LIFT, MIN_DEVIANCE = 4, 0.02, 3.0, 25.0
 ROUNDS, RATE, DECAY = 400, 0.1, 1e-4
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 _WORD = re.compile(r"\w+")
 
@@ -228,8 +228,7 @@ def score_column(model: Model, text: Column) -> Column:
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache: dict[str, tuple] = {}
-        for texts in batches:
-            yield pd.Series(model.scores(texts, cache))
+        return released(lambda each: (pd.Series(model.scores(texts, cache)) for texts in each))(batches)
 
     return scores(text)
 
