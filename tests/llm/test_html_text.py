@@ -96,3 +96,24 @@ def test_hot_host_is_cut_into_shards(spark, monkeypatch):
     monkeypatch.setattr(html_text, "SHARD_PAGES", 10)
     df = spark.range(100).selectExpr("id AS page_id", "concat('http://one.host/', id) AS url", "concat('<nav>menu</nav><article><p>text ', id, '</p></article>') AS html")
     assert {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()} == {i: f"text {i}" for i in range(100)}
+
+
+def test_copied_text_without_markup_stays():
+    copied = "a passage of ten words that two pages of many share"
+    pages = [f"<div>text number {i} tells of {i * 7}</div>" + (f"<p>{copied}</p><p>The end</p>" if i < 2 else "") for i in range(8)]
+    assert html_text.shard_texts(pages) == [f"text number {i} tells of {i * 7}" + (f"\n{copied}\nThe end" if i < 2 else "") for i in range(8)]
+
+
+def test_results_do_not_depend_on_shards(spark, monkeypatch):
+    def page(i):
+        return "<div>Home About Contact Terms Privacy Jobs Press Blog Help</div>" * (i % 5 != 0) + "<p>one sentence of eight words on few pages</p>" * (i % 9 == 0) + "<p>All rights</p>" * (i % 2) + f"<div>text {i % 50} of {i % 50 * 13}</div>"
+
+    pages = [page(i) for i in range(100)]
+    want = html_text.shard_texts(pages)
+    assert want[0] == "one sentence of eight words on few pages\ntext 0 of 0" and want[7] == "text 7 of 91"
+    df = spark.createDataFrame([(i, f"http://one.host/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    for size in (512, 30, 4):
+        monkeypatch.setattr(html_text, "SHARD_PAGES", size)
+        cut = html_text.extract_text(df)
+        assert {r["page_id"]: r["text"] for r in cut.collect()} == dict(enumerate(want)), size
+    assert cut._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 2

@@ -3,13 +3,15 @@
 A page becomes a stream of blocks, each with the context of its markup: main (inside <article>, <main>
 or the like), boilerplate (inside menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, comments, by element, class, id or role), or neutral. The token streams of a host's pages,
-without main text, are concatenated and their suffixes sorted; runs of RUN tokens or more that
-recur on distinct pages, and shorter blocks that recur whole, are boilerplate of the host. Main blocks are
-kept as they are; neutral blocks of a page without main text lose the covered tokens and
-keep their unique runs; a page with main text drops what lies outside it.
+without main text, are concatenated and their suffixes sorted; runs of RUN tokens or more, and shorter
+blocks as a whole, are boilerplate of the host if they are on SHARE of its distinct pages and on LEAST_PAGES
+of them at least: fewer may be copied articles. Main blocks are kept as they are; neutral blocks of a page
+without main text lose the covered tokens and keep the others; a page with main text drops what lies
+outside it.
 
-A host's pages are cut into shards of about SHARD_PAGES pages by a hash of page_id, so that a hot host is
-many tasks; recurrence is judged within a shard.
+A host's pages are cut into shards of about SHARD_PAGES pages, so that a hot host is many tasks. A run on a
+share of the host's pages is on that share of some shard's, so the suffix arrays of the shards propose
+runs, all shards count them by hash, and the sums decide: results don't depend on the shards.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; repeated
 rows give rows each (equal pages are one page when recurrence is counted); an empty table gives no
@@ -19,21 +21,29 @@ end of the page is dropped; <br> is white space.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
+import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, ship, stream_groups, table
+from tidelog.llm.common import Scratch, ship, table
 
 RUN = 8
 SHARD_PAGES, SHARD_BYTES = 512, 8_000_000
 MAIN, NEUTRAL, BOILER = 0, 1, 2
+#: Share of a host's distinct pages that hold a run of boilerplate; the least number of them, by kind; the kinds
+#: of blocks that lose runs.
+SHARE = 0.5
+LEAST_PAGES = {MAIN: 10, NEUTRAL: 3}
+CUT_KINDS = (NEUTRAL,)
 
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
 BOILER_TAGS = frozenset("nav footer aside form button select option input label fieldset dialog menu object embed audio video canvas map head".split())
@@ -168,22 +178,21 @@ def _pop(stack: list[tuple[str, int]], k: int, context: int, end_block) -> int:
     return outer
 
 
-def recurring(streams: list[tuple[int, list[str]]], run: int = RUN) -> list[np.ndarray]:
-    """For blocks (page, tokens): a mask of the tokens within runs that recur on distinct pages.
-
-    One suffix array over all streams, by prefix doubling up to depth `run`; blocks are parted, so that
-    a shorter block's suffixes match only where the block ends too.
-    """
-    if not streams:
-        return []
+def _suffixes(streams: list[tuple[int, list[str]]], run: int):
+    """(lengths, offsets, token codes, tokens, tokens left in the block, pages) of blocks laid end to end, each with an end mark."""
     lengths = np.array([len(t) for _, t in streams])
-    codes, _ = pd.factorize(np.array([w for _, t in streams for w in [*t, ""]], dtype=object))
+    codes, tokens = pd.factorize(np.array([w for _, t in streams for w in [*t, ""]], dtype=object))
     offsets = np.r_[0, np.cumsum(lengths + 1)]
+    left = np.repeat(offsets[1:] - 1, lengths + 1) - np.arange(len(codes))  # tokens from here to the block's end
+    return lengths, offsets, codes, tokens, left, np.repeat([p for p, _ in streams], lengths + 1)
+
+
+def _page_counts(codes: np.ndarray, left: np.ndarray, pages: np.ndarray, run: int) -> np.ndarray:
+    """For each suffix the distinct pages that hold its first `run` tokens, by prefix doubling up to that depth.
+
+    Blocks are parted, so that a shorter block's suffixes match only where the block ends too.
+    """
     rank, n, depth = codes.astype(np.int64), len(codes), 1
-    pages = np.repeat([p for p, _ in streams], lengths + 1)
-    stop = np.zeros(n, bool)
-    stop[offsets[1:] - 1] = True
-    left = np.repeat(offsets[1:] - 1, lengths + 1) - np.arange(n)  # tokens from here to the block's end
     while depth < run:
         after = np.full(n, -1, np.int64)
         inside = np.arange(n) + depth
@@ -197,55 +206,115 @@ def recurring(streams: list[tuple[int, list[str]]], run: int = RUN) -> list[np.n
     # Suffixes of one rank agree on `depth` tokens, or up to both blocks' ends.
     order = np.lexsort((pages, rank))
     starts = np.r_[True, rank[order][1:] != rank[order][:-1]]
-    first = np.flatnonzero(starts)
-    last = np.r_[first[1:], n] - 1
-    several = pages[order][first] != pages[order][last]
-    twin = np.empty(n, bool)
-    twin[order] = several[np.cumsum(starts) - 1]
-    whole = np.zeros(n, bool)
+    other = starts | np.r_[True, pages[order][1:] != pages[order][:-1]]
+    held = np.add.reduceat(other.astype(np.int64), np.flatnonzero(starts))
+    counts = np.empty(n, np.int64)
+    counts[order] = held[np.cumsum(starts) - 1]
+    return counts
+
+
+def _cover(hit: np.ndarray, lengths, offsets, left, run: int) -> list[np.ndarray]:
+    """Masks of the tokens within the runs that start at a hit; a short suffix counts only as a whole block."""
+    whole = np.zeros(len(left), bool)
     whole[offsets[:-1]] = True
-    use = twin & ~stop & ((left >= depth) | whole)  # a short suffix counts only as a whole block
-    delta = np.zeros(n + 1, np.int64)
-    at = np.flatnonzero(use)
+    at = np.flatnonzero(hit & (left > 0) & ((left >= run) | whole))
+    delta = np.zeros(len(left) + 1, np.int64)
     np.add.at(delta, at, 1)
-    np.add.at(delta, at + np.minimum(depth, left[at]), -1)
+    np.add.at(delta, at + np.minimum(run, left[at]), -1)
     covered = np.cumsum(delta[:-1]) > 0
     return [covered[i : i + k] for i, k in zip(offsets, lengths)]
 
 
-def shard_texts(pages: list[str]) -> list[str]:
-    """Main texts of one shard's pages."""
-    return kept_texts([page_blocks(p) for p in pages])
-
-
-def kept_texts(parsed: list[list[tuple[int, str]]]) -> list[str]:
-    """Main texts of the parsed pages of one shard."""
-    one: dict[tuple, int] = {}
-    which = [one.setdefault(tuple(map(tuple, p)), i) for i, p in enumerate(parsed)]
-    streams, place = [], {}
-    for i, blocks in enumerate(parsed):
-        for j, (context, text) in enumerate(blocks):
-            if context != MAIN:
-                place[i, j] = len(streams)
-                streams.append((which[i], text.split(" ")))
-    masks = recurring(streams)
+def recurring(streams: list[tuple[int, list[str]]], run: int = RUN, least: int = 2) -> list[np.ndarray]:
+    """For blocks (page, tokens): a mask of the tokens within runs that recur on `least` distinct pages."""
+    if not streams:
+        return []
+    lengths, offsets, codes, _, left, pages = _suffixes(streams, run)
+    return _cover(_page_counts(codes, left, pages, run) >= least, lengths, offsets, left, run)
+
+
+def _keys(codes: np.ndarray, tokens, left: np.ndarray, run: int) -> np.ndarray:
+    """64-bit hashes of each suffix's first `run` tokens, the end mark among them: the same in all shards."""
+    of = pd.util.hash_array(np.array([w.encode("utf-8", "surrogatepass") for w in tokens], dtype=object), categorize=False)[codes]
+    keys, times = np.zeros(len(codes), np.uint64), 1
+    for k in range(run):
+        ok = np.flatnonzero(left >= k)
+        keys[ok] += of[ok + k] * np.uint64(times)
+        times = times * 0x9E3779B97F4A7C15 % (1 << 64)
+    return keys.view(np.int64)
+
+
+def _streams(contents: list[list[tuple[int, str]]], kind: int):
+    return [(i, text.split(" ")) for i, blocks in enumerate(contents) for context, text in blocks if (context == MAIN) == (kind == MAIN)]
+
+
+def least_pages(kind: int, pages: int) -> int:
+    """Distinct pages, of so many of a host, that hold a run of boilerplate."""
+    return max(LEAST_PAGES[kind], math.ceil(SHARE * pages))
+
+
+def candidates(contents: list, kind: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, distinct pages) of the runs on `least` of these distinct pages or more."""
+    if not (streams := _streams(contents, kind)):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, _, codes, tokens, left, pages = _suffixes(streams, RUN)
+    counts = _page_counts(codes, left, pages, RUN)
+    at = np.flatnonzero((counts >= least) & (left > 0))
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, first = np.unique(_keys(codes, tokens, left, RUN)[at], return_index=True)
+    return keys, counts[at][first]
+
+
+def count_keys(contents: list, kind: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, distinct pages) of the wanted runs that these distinct pages hold."""
+    if not len(wanted) or not (streams := _streams(contents, kind)):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, _, codes, tokens, left, pages = _suffixes(streams, RUN)
+    keys = _keys(codes, tokens, left, RUN)
+    at = np.flatnonzero(np.isin(keys, wanted) & (left > 0))
+    held = np.unique(np.c_[keys[at], pages[at]], axis=0)
+    return np.unique(held[:, 0], return_counts=True)
+
+
+def cut_texts(contents: list, cut: dict[int, np.ndarray]) -> list[str]:
+    """Main texts of parsed pages, without the runs whose keys are given by kind."""
+    masks = {MAIN: repeat(None), NEUTRAL: repeat(None)}
+    for kind in CUT_KINDS:
+        streams = _streams(contents, kind)
+        if len(cut[kind]) and streams:
+            lengths, offsets, codes, tokens, left, _ = _suffixes(streams, RUN)
+            masks[kind] = iter(_cover(np.isin(_keys(codes, tokens, left, RUN), cut[kind]), lengths, offsets, left, RUN))
     out = []
-    for i, blocks in enumerate(parsed):
+    for blocks in contents:
         main = any(c == MAIN for c, _ in blocks)
         kept = []
-        for j, (context, text) in enumerate(blocks):
-            if context == MAIN:
-                kept.append(text)
-            elif context == NEUTRAL and not main:
-                k = place[i, j]
-                if not masks[k].any():
+        for context, text in blocks:
+            mask = next(masks[MAIN if context == MAIN else NEUTRAL])
+            if context == MAIN or context == NEUTRAL and not main:
+                if mask is None or not mask.any():
                     kept.append(text)
-                elif rest := [w for w, c in zip(streams[k][1], masks[k]) if not c]:
+                elif rest := [w for w, c in zip(text.split(" "), mask) if not c]:
                     kept.append(" ".join(rest))
         out.append("\n".join(kept))
     return out
 
 
+def shard_texts(pages: list[str]) -> list[str]:
+    """Main texts of a host's pages."""
+    return kept_texts([page_blocks(p) for p in pages])
+
+
+def kept_texts(parsed: list[list[tuple[int, str]]]) -> list[str]:
+    """Main texts of the parsed pages of one host."""
+    distinct = [list(p) for p in dict.fromkeys(tuple(map(tuple, p)) for p in parsed)]
+    return cut_texts(parsed, {kind: candidates(distinct, kind, least_pages(kind, len(distinct)))[0] for kind in CUT_KINDS})
+
+
+COUNTS = "host string, shards int, kind int, key long, pages long, of long"
+ALL = -1  # the kind of the row that holds a host's distinct pages
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for each row of (page_id, url, html)."""
     ship(pages.sparkSession)
@@ -254,29 +323,84 @@ def extract_text(pages: DataFrame) -> DataFrame:
     sizes = pages.groupBy("host").agg(F.greatest(F.ceil(F.count("*") / SHARD_PAGES), F.ceil(F.sum(F.octet_length("html")) / SHARD_BYTES)).cast("int").alias("shards")).where("shards > 1")
     # Written first, so that Spark knows its size: it is broadcast only if that allows, and pages are shuffled once.
     sizes = Scratch(pages.sparkSession, "html").write(sizes, "hosts")
-    dealt = pages.join(sizes, "host", "left").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))).cast("int"))
+    dealt = pages.join(sizes, "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")).cast("int"))
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pages travel to their shard as compressed blocks, without markup."""
+        """Pages travel without markup, those of a batch for one shard compressed together.
+
+        Equal pages count in one shard, the one of their digest; a task's further copies of a page are dealt by
+        their ids and count nowhere, so that a page with many copies is many tasks.
+        """
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=5)
+        seen = set()
         for pdf in batches:
-            blocks = [squeeze.compress(json.dumps(page_blocks(h)).encode("utf-8", "surrogatepass")) for h in pdf["html"]]
-            yield pdf.drop(columns="html").assign(page_id=pdf["page_id"].astype("Int64"), blocks=blocks)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            dealt: dict[tuple, list] = {}
+            for host, shards, salt, page_id, url, page in zip(pdf["host"], pdf["shards"], pdf["salt"], pdf["page_id"].astype(object), pdf["url"].astype(object), pdf["html"]):
+                blocks = page_blocks(page)
+                digest = hashlib.blake2b(json.dumps(blocks).encode(), digest_size=16).digest()
+                first = (host, digest) not in seen
+                seen.add((host, digest))
+                shard = int.from_bytes(digest[:8], "little") % shards if first else salt
+                dealt.setdefault((host, shards, shard), []).append((first, None if pd.isna(page_id) else int(page_id), None if pd.isna(url) else url, blocks))
+            keys = [pd.Series(k, dtype=t) for k, t in zip(zip(*dealt), (object, "int32", "int32"))] if dealt else [[], [], []]
+            packs = [squeeze.compress(json.dumps(p, ensure_ascii=False).encode("utf-8", "surrogatepass")) for p in dealt.values()]
+            yield pd.DataFrame({"host": keys[0], "shards": keys[1], "shard": keys[2], "pages": pd.Series(packs, dtype=object)})
+
+    def unpack(pdf: pd.DataFrame) -> tuple[list, list]:
+        """A shard's rows, and its distinct pages that count."""
         import zstandard
 
         loosen = zstandard.ZstdDecompressor()
-        for _, pdf in stream_groups(batches, ["host", "shard"]):
-            parsed = [json.loads(loosen.decompress(b)) for b in pdf["blocks"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": kept_texts(parsed)})
-
-    packed = dealt.select("host", "shard", "page_id", "url", "html").mapInPandas(parse, "host string, shard int, page_id long, url string, blocks binary")
-    packed = packed.repartition(parts, "host", "shard").sortWithinPartitions("host", "shard")
-    return packed.mapInPandas(run, "page_id long, url string, text string")
+        rows = [row for pack in pdf["pages"] for row in json.loads(loosen.decompress(pack).decode("utf-8", "surrogatepass"))]
+        return rows, [list(p) for p in dict.fromkeys(tuple(map(tuple, blocks)) for first, _, _, blocks in rows if first)]
+
+    def rows_of(host: str, shards: int, of: int, *parts) -> pd.DataFrame:
+        """A row for each (key, count) of parts (kind, keys, counts)."""
+        kinds = np.concatenate([np.full(len(keys), kind, np.int32) for kind, keys, _ in parts]) if parts else np.zeros(0, np.int32)
+        keys = np.concatenate([np.asarray(keys, np.int64) for _, keys, _ in parts]) if parts else np.zeros(0, np.int64)
+        counts = np.concatenate([np.asarray(counts, np.int64) for *_, counts in parts]) if parts else np.zeros(0, np.int64)
+        return pd.DataFrame({"host": pd.Series([host] * len(keys), dtype=object), "shards": np.full(len(keys), shards, np.int32), "kind": kinds, "key": keys, "pages": counts, "of": np.full(len(keys), of, np.int64)})
+
+    def propose(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A run on a share of a host's pages is on that share of some shard's."""
+        host, shards = pdf["host"].iloc[0], int(pdf["shards"].iloc[0])
+        if shards == 1:
+            return rows_of(host, 1, 0)
+        _, mine = unpack(pdf)
+        least = max(1, math.ceil(SHARE * len(mine)))
+        return rows_of(host, shards, 0, (ALL, [0], [len(mine)]), *((kind, *candidates(mine, kind, least)) for kind in CUT_KINDS))
+
+    def count(pdf: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(runs):
+            return rows_of("", 1, 0)
+        host, shards, (_, mine) = pdf["host"].iloc[0], int(pdf["shards"].iloc[0]), unpack(pdf)
+        of = int(runs.loc[runs["kind"] == ALL, "pages"].iloc[0])
+        return rows_of(host, shards, of, *((kind, *count_keys(mine, kind, runs.loc[runs["kind"] == kind, "key"].to_numpy())) for kind in CUT_KINDS))
+
+    def cut(pdf: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        rows, mine = unpack(pdf)
+        if len(pdf) and pdf["shards"].iloc[0] > 1:
+            keys = {kind: runs.loc[runs["kind"] == kind, "key"].to_numpy() for kind in CUT_KINDS}
+        else:
+            keys = {kind: candidates(mine, kind, least_pages(kind, len(mine)))[0] for kind in CUT_KINDS}
+        texts = cut_texts([blocks for *_, blocks in rows], keys)
+        return pd.DataFrame({"page_id": pd.array([i for _, i, _, _ in rows], "Int64"), "url": pd.Series([u for _, _, u, _ in rows], dtype=object), "text": pd.Series(texts, dtype=object)})
+
+    def everywhere(runs: DataFrame) -> DataFrame:
+        return runs.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+
+    packed = dealt.select("host", "shards", "salt", "page_id", "url", "html").mapInPandas(parse, "host string, shards int, shard int, pages binary")
+    # Written first: the three passes over the same table then read one exchange.
+    packed = Scratch(pages.sparkSession, "html").write(packed, "packed").repartition(parts, "host", "shard")
+    mine = packed.groupBy("host", "shard")
+    proposed = everywhere(mine.applyInPandas(propose, COUNTS).groupBy("host", "shards", "kind", "key").agg(F.sum("pages").alias("pages")))
+    counted = mine.cogroup(proposed.groupBy("host", "shard")).applyInPandas(count, COUNTS).groupBy("host", "shards", "kind", "key", "of").agg(F.sum("pages").alias("pages"))
+    least = F.greatest(F.when(F.col("kind") == MAIN, LEAST_PAGES[MAIN]).otherwise(LEAST_PAGES[NEUTRAL]), F.ceil(F.lit(SHARE) * F.col("of")))
+    common = everywhere(counted.where(F.col("pages") >= least).select("host", "shards", "kind", "key"))
+    return mine.cogroup(common.groupBy("host", "shard")).applyInPandas(cut, "page_id long, url string, text string")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
