@@ -117,3 +117,22 @@ def test_results_do_not_depend_on_shards(spark, monkeypatch):
         cut = html_text.extract_text(df)
         assert {r["page_id"]: r["text"] for r in cut.collect()} == dict(enumerate(want)), size
     assert cut._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 2
+
+
+def test_boilerplate_within_main_text_goes():
+    sign_up = "<p>Get all our stories by mail every single Sunday morning</p><p>Sign up</p>"
+    pages = [f"<main><div>Home About Terms</div><h1>Title {i}</h1><p>text {i} of {i * 7}</p>{sign_up}</main>" for i in range(20)]
+    assert html_text.shard_texts(pages) == [f"Title {i}\ntext {i} of {i * 7}" for i in range(20)]
+    # An article copied on fewer than half of the pages stays, and so does all main text of a small host.
+    copied = "<article><p>an article that was copied on many pages of it</p></article>"
+    pages = [f"<article><p>text {i}</p></article>" + copied * (i < 9) for i in range(20)]
+    assert html_text.shard_texts(pages) == [f"text {i}" + "\nan article that was copied on many pages of it" * (i < 9) for i in range(20)]
+    assert html_text.shard_texts([copied + f"<main>{i}</main>" for i in range(9)])[0] == "an article that was copied on many pages of it\n0"
+
+
+def test_main_text_is_counted_over_all_shards(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "SHARD_PAGES", 5)
+    pages = [f"<article><p>text {i}</p>" + "<p>Sign up</p>" * (i % 2) + "<p>See also</p>" * (i % 3 == 0) + "</article>" for i in range(60)]
+    df = spark.createDataFrame([(i, f"http://one.host/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
+    assert got == {i: f"text {i}" + "\nSee also" * (i % 3 == 0) for i in range(60)}

@@ -3,11 +3,11 @@
 A page becomes a stream of blocks, each with the context of its markup: main (inside <article>, <main>
 or the like), boilerplate (inside menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, comments, by element, class, id or role), or neutral. The token streams of a host's pages,
-without main text, are concatenated and their suffixes sorted; runs of RUN tokens or more, and shorter
-blocks as a whole, are boilerplate of the host if they are on SHARE of its distinct pages and on LEAST_PAGES
-of them at least: fewer may be copied articles. Main blocks are kept as they are; neutral blocks of a page
-without main text lose the covered tokens and keep the others; a page with main text drops what lies
-outside it.
+main blocks and the others apart, are concatenated and their suffixes sorted; runs of RUN tokens or more, and
+shorter blocks as a whole, are boilerplate of the host if they are on SHARE of its distinct pages and on
+LEAST_PAGES of them at least (more for main text): fewer may be copied articles. Main blocks, and neutral
+blocks of a page without main text, lose the covered tokens and keep the others; a page with main text drops
+what lies outside it.
 
 A host's pages are cut into shards of about SHARD_PAGES pages, so that a hot host is many tasks. A run on a
 share of the host's pages is on that share of some shard's, so the suffix arrays of the shards propose
@@ -39,11 +39,10 @@ from tidelog.llm.common import Scratch, ship, table
 RUN = 8
 SHARD_PAGES, SHARD_BYTES = 512, 8_000_000
 MAIN, NEUTRAL, BOILER = 0, 1, 2
-#: Share of a host's distinct pages that hold a run of boilerplate; the least number of them, by kind; the kinds
-#: of blocks that lose runs.
+#: Share of a host's distinct pages that hold a run of boilerplate; the least number of them, by kind of block.
 SHARE = 0.5
 LEAST_PAGES = {MAIN: 10, NEUTRAL: 3}
-CUT_KINDS = (NEUTRAL,)
+KINDS = (MAIN, NEUTRAL)
 
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
 BOILER_TAGS = frozenset("nav footer aside form button select option input label fieldset dialog menu object embed audio video canvas map head".split())
@@ -280,7 +279,7 @@ def count_keys(contents: list, kind: int, wanted: np.ndarray) -> tuple[np.ndarra
 def cut_texts(contents: list, cut: dict[int, np.ndarray]) -> list[str]:
     """Main texts of parsed pages, without the runs whose keys are given by kind."""
     masks = {MAIN: repeat(None), NEUTRAL: repeat(None)}
-    for kind in CUT_KINDS:
+    for kind in KINDS:
         streams = _streams(contents, kind)
         if len(cut[kind]) and streams:
             lengths, offsets, codes, tokens, left, _ = _suffixes(streams, RUN)
@@ -308,7 +307,7 @@ def shard_texts(pages: list[str]) -> list[str]:
 def kept_texts(parsed: list[list[tuple[int, str]]]) -> list[str]:
     """Main texts of the parsed pages of one host."""
     distinct = [list(p) for p in dict.fromkeys(tuple(map(tuple, p)) for p in parsed)]
-    return cut_texts(parsed, {kind: candidates(distinct, kind, least_pages(kind, len(distinct)))[0] for kind in CUT_KINDS})
+    return cut_texts(parsed, {kind: candidates(distinct, kind, least_pages(kind, len(distinct)))[0] for kind in KINDS})
 
 
 COUNTS = "host string, shards int, kind int, key long, pages long, of long"
@@ -371,21 +370,21 @@ def extract_text(pages: DataFrame) -> DataFrame:
             return rows_of(host, 1, 0)
         _, mine = unpack(pdf)
         least = max(1, math.ceil(SHARE * len(mine)))
-        return rows_of(host, shards, 0, (ALL, [0], [len(mine)]), *((kind, *candidates(mine, kind, least)) for kind in CUT_KINDS))
+        return rows_of(host, shards, 0, (ALL, [0], [len(mine)]), *((kind, *candidates(mine, kind, least)) for kind in KINDS))
 
     def count(pdf: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf) or not len(runs):
             return rows_of("", 1, 0)
         host, shards, (_, mine) = pdf["host"].iloc[0], int(pdf["shards"].iloc[0]), unpack(pdf)
         of = int(runs.loc[runs["kind"] == ALL, "pages"].iloc[0])
-        return rows_of(host, shards, of, *((kind, *count_keys(mine, kind, runs.loc[runs["kind"] == kind, "key"].to_numpy())) for kind in CUT_KINDS))
+        return rows_of(host, shards, of, *((kind, *count_keys(mine, kind, runs.loc[runs["kind"] == kind, "key"].to_numpy())) for kind in KINDS))
 
     def cut(pdf: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         rows, mine = unpack(pdf)
         if len(pdf) and pdf["shards"].iloc[0] > 1:
-            keys = {kind: runs.loc[runs["kind"] == kind, "key"].to_numpy() for kind in CUT_KINDS}
+            keys = {kind: runs.loc[runs["kind"] == kind, "key"].to_numpy() for kind in KINDS}
         else:
-            keys = {kind: candidates(mine, kind, least_pages(kind, len(mine)))[0] for kind in CUT_KINDS}
+            keys = {kind: candidates(mine, kind, least_pages(kind, len(mine)))[0] for kind in KINDS}
         texts = cut_texts([blocks for *_, blocks in rows], keys)
         return pd.DataFrame({"page_id": pd.array([i for _, i, _, _ in rows], "Int64"), "url": pd.Series([u for _, _, u, _ in rows], dtype=object), "text": pd.Series(texts, dtype=object)})
 
