@@ -136,3 +136,13 @@ def test_bloom_rates(spark):
         rates.append(metrics.false_positives(metrics.bloom_probe(probes, "key", words, 5000, bits)).first()["rate"])
         assert rates[-1] < max(0.02, 3 * metrics.expected_rate(bits))
     assert rates[0] > 2 * rates[1] > 4 * rates[2]
+
+
+def test_configurations_are_the_entries_of_kind_2(spark, sf, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidelog import queries
+
+    log = queries.adapters.sample_raft_log
+    monkeypatch.setattr(queries.adapters, "sample_raft_log", lambda events: log(events).withColumn("entry_kind", F.lit(2)))
+    assert queries._configs(spark, sf).count() == queries._events(spark, sf).count() > 0

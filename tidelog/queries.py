@@ -672,10 +672,11 @@ CONFIGS = "g AS (SELECT event_id + 1 AS index, ['n' || event_id % 5, 'n' || (eve
 
 
 def _configs(spark, d) -> DataFrame:
+    """A configuration from each entry of kind 2 of the replicated log."""
     name = lambda c: F.concat(F.lit("n"), F.pmod(c, F.lit(5)).cast("string"))
-    e = F.col("event_id")
-    rows = _events(spark, d).where("event_id % 333 = 0 AND event_id % 500 <> 0")
-    return rows.select((e + 1).alias("index"), F.array(name(e), name(e + 1), name(e + 2)).alias("voters"), F.when(e % 2 == 0, F.array(name(e + 3))).otherwise(F.array().cast("array<string>")).alias("outgoing"), F.array(name(e * 2)).alias("learners"))
+    e = F.col("index") - 1
+    rows = _raft(spark, d).where("node = 'n0' AND entry_kind = 2")
+    return rows.select("index", F.array(name(e), name(e + 1), name(e + 2)).alias("voters"), F.when(e % 2 == 0, F.array(name(e + 3))).otherwise(F.array().cast("array<string>")).alias("outgoing"), F.array(name(e * 2)).alias("learners"))
 
 
 @query("latest_config", f"WITH {CONFIGS} SELECT index, array_to_string(voters, ',') AS voters FROM g WHERE index <= 7000 ORDER BY index DESC LIMIT 1")
