@@ -99,3 +99,46 @@ def test_query_over_the_whole_table(spark, sf):
     for r in rows[:40]:
         ids = expected(texts[r["doc_id"]])[r["start"] : r["start"] + r["length"]]
         assert len(ids) == r["length"] and zlib.crc32(np.array(ids, "<u4").tobytes()) == r["ids_crc32"]
+
+
+def test_ids_are_the_tokenizers_own():
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    letters = "abcdefgxyzßéèÿÑÀ'’.,!<|> \n\t0123日²́İKK_\x1c\x85\xa0Σ"
+    texts = ["", None, "<|endoftext|>Foo", "a<|b", "It's we'LL 'tis", "x" * 3000] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 50))) for _ in range(1500)]
+    encoder = packing.WordEncoder(PATH, cache_bytes=100_000)
+    for _ in range(2):
+        ids, ends = encoder.texts(pa.array(texts))
+        for t, a, b in zip(texts, ends, ends[1:]):
+            assert [*ids[a:b].tolist(), 1] == expected_of(encoder, t)
+
+
+def expected_of(encoder, text):
+    return [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+def test_long_texts_are_cut_at_white_space(monkeypatch):
+    monkeypatch.setattr(packing, "TOGETHER", 50)
+    encoder = packing.WordEncoder(PATH)
+    text = "some words, andé others \n of <|endoftext|> it " * 40
+    assert [*encoder.long_text(text).tolist(), 1] == expected_of(encoder, text)
+
+
+def test_merges_may_be_run_by_any_pair():
+    """What `WordEncoder` builds on: each token, spelt alone, is merged into itself, and parts come before their whole."""
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, pairs = model["vocab"], {tuple(p): i for i, p in enumerate(model["merges"])}
+    assert all(max(vocab[a], vocab[b]) < vocab[a + b] == 512 + i for (a, b), i in pairs.items())
+    for token in vocab:
+        parts = list(token.removesuffix("</w>"))
+        if token.endswith("</w>"):
+            parts[-1] += "</w>"
+        while len(parts) > 1:
+            rank, k = min((pairs.get(p, 1 << 30), k) for k, p in enumerate(zip(parts, parts[1:])))
+            assert rank < 1 << 30, token
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        assert parts == [token]
