@@ -146,3 +146,17 @@ def test_configurations_are_the_entries_of_kind_2(spark, sf, monkeypatch):
     log = queries.adapters.sample_raft_log
     monkeypatch.setattr(queries.adapters, "sample_raft_log", lambda events: log(events).withColumn("entry_kind", F.lit(2)))
     assert queries._configs(spark, sf).count() == queries._events(spark, sf).count() > 0
+
+
+def test_samples_of_one_time_do_not_multiply(spark):
+    df = scrape(spark, [(0, "a", "raft_elections", 1), (1, "a", "raft_elections", 3), (1, "a", "raft_elections", 4), (2, "a", "raft_elections", 9)])
+    got = alerts.increase(df, "raft_elections", 600).collect()
+    assert len(got) == 4 and sorted(r["increase"] for r in got)[-1] == 8
+
+
+def test_figures_of_two_engines(spark):
+    rows = spark.createDataFrame([(1.0, 4.0), (0.0, 4.0), (0.0, 0.0), (2.0, 2.0)], "a double, b double")
+    low = [r[0] for r in rows.select(metrics.advantage(rows.a, rows.b)).collect()]
+    assert low == [4.0, float("inf"), 0.0, 1.0]
+    assert [r[0] for r in rows.select(metrics.advantage(rows.a, rows.b, False)).collect()] == [4.0, 0.0, 0.0, 1.0]
+    assert metrics.BOUNDS == (0.00005, 0.0001, 0.00025, 0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)

@@ -17,19 +17,15 @@ def series(metrics: DataFrame, name: str) -> DataFrame:
 
 
 def increase(metrics: DataFrame, name: str, seconds: int, by: tuple[str, ...] = ("node",)) -> DataFrame:
-    """(by.., ts, increase): growth of a counter over the `seconds` up to each sample."""
+    """(by.., ts, increase): growth of a counter over the `seconds` up to each sample; samples of one time count in the order of their values."""
     rows = series(metrics, name).withColumn("__t", F.col("ts").cast("long"))
-    each = Window.partitionBy(*by).orderBy("__t")
-    before = F.lag("value").over(each)
+    before = F.lag("value").over(Window.partitionBy(*by).orderBy("__t", "value"))
     step = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
     rows = rows.withColumn("__step", step)
     # The step at a window's first sample lies before the window.
-    span = each.rangeBetween(-seconds, 0)
-    first = F.min("__t").over(span)
-    total = F.sum("__step").over(span)
-    rows = rows.withColumn("__first", first).withColumn("__sum", total)
-    at_first = rows.select(*by, F.col("__t").alias("__first"), F.col("__step").alias("__lost"))
-    return rows.join(at_first, [*by, "__first"]).select(*by, "ts", (F.col("__sum") - F.col("__lost")).alias("increase"))
+    span = Window.partitionBy(*by).orderBy("__t").rangeBetween(-seconds, 0)
+    lost = F.min(F.struct("__t", "value", "__step")).over(span)["__step"]
+    return rows.select(*by, "ts", (F.sum("__step").over(span) - lost).alias("increase"))
 
 
 def held(rows: DataFrame, condition: Column, seconds: int, by: tuple[str, ...] = ("node",)) -> DataFrame:
@@ -44,10 +40,15 @@ def held(rows: DataFrame, condition: Column, seconds: int, by: tuple[str, ...] =
     return rows.where(F.col("__on") & (F.col("ts").cast("long") - F.col("__since").cast("long") >= seconds)).select(*by, "ts")
 
 
-def quantile(metrics: DataFrame, name: str, q: float, seconds: int, by: tuple[str, ...] = ("node",)) -> DataFrame:
-    """(by.., ts, quantile) from bucket counters with a label le, interpolated within a bucket; the open bucket gives its lower bound."""
+def quantile(metrics: DataFrame, name: str, q: float, seconds: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by.., ts, quantile) from bucket counters with a label le, interpolated within a bucket; the open bucket gives its lower bound.
+
+    Each series (node and labels) grows on its own; the growths are summed by le over all of `by`, then the quantile is taken.
+    """
     rows = series(metrics, name).withColumn("le", F.when(F.col("labels")["le"] != "+Inf", F.col("labels")["le"].cast("double")).otherwise(float("inf")))
-    grown = increase(rows, name, seconds, (*by, "le"))
+    rows = rows.withColumn("__series", F.to_json(F.array_sort(F.map_entries("labels"))))
+    each = ("node", "__series", "le", *(x for x in by if x != "node"))
+    grown = increase(rows, name, seconds, each).groupBy(*by, "ts", "le").agg(F.sum("increase").alias("increase"))
     buckets = grown.groupBy(*by, "ts").agg(F.array_sort(F.collect_list(F.struct("le", F.col("increase").alias("n")))).alias("b"))
     total = F.element_at("b", -1)["n"]
     rank = total * q
@@ -79,7 +80,7 @@ def down(metrics: DataFrame) -> DataFrame:
 
 
 def tail_latency_high(metrics: DataFrame) -> DataFrame:
-    return held(quantile(metrics, "command_seconds_bucket", 0.99, 300), F.col("quantile") > 0.05, 120)
+    return held(quantile(metrics, "command_seconds_bucket", 0.99, 300), F.col("quantile") > 0.05, 120, ())
 
 
 def level0_backlog(metrics: DataFrame) -> DataFrame:

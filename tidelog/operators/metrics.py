@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Upper bounds of the latency histogram in seconds (fixed values).
-BOUNDS = (0.00001, 0.000025, 0.00005, 0.0001, 0.00025, 0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5)
+BOUNDS = (0.00005, 0.0001, 0.00025, 0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 
 def ratio(part: Column, rest: Column) -> Column:
@@ -39,15 +39,17 @@ def pooled(samples: list[DataFrame], value: str, by: list[str] | None = None, at
     return percentiles(out, value, by, at)
 
 
-def winner(left: Column, right: Column, lower_is_better: bool, names=("hash", "lsm")) -> Column:
-    """The better of two figures."""
+def winner(left: Column, right: Column, lower_is_better: bool, names=("bitcask", "lsm")) -> Column:
+    """The better of two figures; the names are those of a hash-indexed log and of a merge tree."""
     a, b = (left, right) if lower_is_better else (right, left)
     return F.when(a < b, F.lit(names[0])).when(a > b, F.lit(names[1])).otherwise(F.lit("tie"))
 
 
-def advantage(left: Column, right: Column) -> Column:
-    """How many times better the better one is; 0 where a figure is 0."""
-    return F.coalesce(F.try_divide(F.greatest(left, right), F.least(left, right)), F.lit(0.0))
+def advantage(left: Column, right: Column, lower_is_better: bool = True) -> Column:
+    """How many times better the better one is: 0 where the worse figure is 0, infinite where only a better, lower one is."""
+    low, high = F.least(left, right).cast("double"), F.greatest(left, right).cast("double")
+    worse = high if lower_is_better else low
+    return F.when(worse == 0, F.lit(0.0)).when(low == 0, F.lit(float("inf"))).otherwise(high / F.when(low != 0, low))
 
 
 def bloom_bits(n: int, bits_per_key: int) -> int:

@@ -77,9 +77,23 @@ def read_workload(spark: SparkSession, n: int, keys: int, missing: bool = False,
     return spark.range(n).select(F.col("id").alias("pos"), F.format_string("key:%012d", pick).alias("key"))
 
 
-def lossy(rows: DataFrame, rate: float, seed: int) -> DataFrame:
-    """Rows that a network losing `rate` of them lets through; the same ones each time."""
-    return rows.where(F.pmod(F.xxhash64(*rows.columns, F.lit(seed)), F.lit(1_000_000)) >= int(rate * 1_000_000))
+def lossy(rows: DataFrame, rate: float, seed: int, isolated: tuple[str, ...] = (), groups: tuple[tuple[str, ...], ...] = ()) -> DataFrame:
+    """Rows that a network losing `rate` of them lets through; the same ones each time.
+
+    Rows with columns source and target are messages: an isolated node neither sends nor gets any, and with groups a message passes
+    only within one of them. A row is lost by a digest of its columns as text, null as nothing.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns], F.lit(str(seed)))
+    draw = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    kept = rows.where(draw >= int(rate * (1 << 32)))
+    if isolated:
+        kept = kept.where(~F.col("source").isin(*isolated) & ~F.col("target").isin(*isolated))
+    if groups:
+        within = F.lit(False)
+        for g in groups:
+            within = within | (F.col("source").isin(*g) & F.col("target").isin(*g))
+        kept = kept.where(within)
+    return kept
 
 
 def sample_raft_log(events: DataFrame, nodes: int = 3) -> DataFrame:
