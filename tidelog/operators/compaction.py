@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tidelog.schema import DELETE
 
 L0_TRIGGER, MULTIPLIER, BASE_BYTES = 4, 10, 16 * 1024 * 1024
+MAX_LEVEL = 6
+#: Size at which compaction output rolls to another file, between two keys.
+TARGET_FILE_BYTES = 8 * 1024 * 1024
 STALE_RATIO, STALE_BYTES = 0.5, 4 * 1024 * 1024
 MAX_PASSES = 64
 
@@ -17,20 +20,26 @@ def oldest_visible(pins: DataFrame, log: DataFrame) -> DataFrame:
     return pins.agg(F.coalesce(F.min("seq"), log.agg(F.max("seq")).scalar()).alias("seq"))
 
 
-def marked(log: DataFrame, oldest: int) -> DataFrame:
-    """Adds `keep`: versions newer than `oldest`, and each key's newest at or below it unless that is a tombstone.
+def marked(log: DataFrame, oldest: int, deeper: DataFrame | None = None) -> DataFrame:
+    """Adds `keep`: versions newer than `oldest`, and each key's newest at or below it unless that is a tombstone that may go.
 
-    The newest at or below is an aggregate, not a window, so a hot key is combined before the shuffle. A
-    tombstone is dropped only here, where all files of the key are compacted at once.
+    Where all files of the keys are compacted at once, any such tombstone may; with `deeper`, tables (min_key, max_key)
+    that are left out of a job, only one that none of them covers. The newest at or below is an aggregate, not a
+    window, so a hot key is combined before the shuffle.
     """
     below = log.where(F.col("seq") <= oldest).groupBy("key").agg(F.max_by("kind", "seq").alias("__kind"), F.max("seq").alias("__top"))
+    if deeper is not None:
+        covered = below.where(F.col("__kind") == DELETE).join(deeper, (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key")), "left_semi")
+        below = below.join(covered.select("key", F.lit(True).alias("__covered")), "key", "left")
+    else:
+        below = below.withColumn("__covered", F.lit(False))
     rows = log.join(below, "key", "left")
-    newest = F.coalesce((F.col("seq") == F.col("__top")) & (F.col("__kind") != DELETE), F.lit(False))
-    return rows.withColumn("keep", (F.col("seq") > oldest) | newest).drop("__kind", "__top")
+    newest = F.coalesce((F.col("seq") == F.col("__top")) & ((F.col("__kind") != DELETE) | F.coalesce("__covered", F.lit(False))), F.lit(False))
+    return rows.withColumn("keep", (F.col("seq") > oldest) | newest).drop("__kind", "__top", "__covered")
 
 
-def retained(log: DataFrame, oldest: int) -> DataFrame:
-    return marked(log, oldest).where("keep").drop("keep")
+def retained(log: DataFrame, oldest: int, deeper: DataFrame | None = None) -> DataFrame:
+    return marked(log, oldest, deeper).where("keep").drop("keep")
 
 
 def droppable_tombstones(log: DataFrame, oldest: int, deeper: DataFrame | None = None) -> DataFrame:
@@ -62,7 +71,7 @@ def level_scores(manifest: DataFrame, trigger: int = L0_TRIGGER, base: int = BAS
     return sizes.select("level", F.when(F.col("level") == 0, F.col("tables") / trigger).otherwise(F.col("bytes") / target).alias("score"))
 
 
-def pick_level(manifest: DataFrame, max_level: int = 6, **options) -> DataFrame:
+def pick_level(manifest: DataFrame, max_level: int = MAX_LEVEL, **options) -> DataFrame:
     """(level, score) of the level to compact: the best score of at least 1, the lowest level of equals; no row if none."""
     scores = level_scores(manifest, **options).where((F.col("score") >= 1) & (F.col("level") < max_level))
     return scores.groupBy().agg(F.max_by(F.struct("level", "score"), F.struct("score", -F.col("level"))).alias("top")).where("top IS NOT NULL").select("top.level", "top.score")

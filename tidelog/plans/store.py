@@ -1,13 +1,17 @@
 """A store on Parquet: appended tables of ops, a manifest a version, compaction and vacuum.
 
-Data is written first, then a manifest under a version number that must not exist yet: a lost race fails,
-a crash leaves files that no manifest names. Tables hold rows sorted by key and falling sequence within
-range partitions, so row-group statistics prune; the manifest's key span prunes whole tables.
+Data is written first, then a manifest under a version number that must not be taken yet: a number is taken by an
+exclusive create of its claim, so a lost race fails on any store. A crash leaves files that no manifest names.
+A writer holds a lease on its folder until its version is published or given up; vacuum leaves leased folders
+alone. Tables hold rows sorted by key and falling sequence, so row-group statistics prune; the manifest's
+key span prunes whole tables. Snapshots are pinned by files, for every process that uses the store.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import time
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
@@ -23,6 +27,8 @@ from tidelog.schema import DELETE, PUT, StoreError
 SCHEMA = "key binary, seq bigint, kind tinyint, value binary, batch_id bigint, batch_pos int, batch_size int"
 #: Ops from which a write is laid out by key range.
 SORT_FROM = 100_000
+#: Seconds after which a lease or claim counts as left behind by a writer that died.
+LEASE_SECONDS = 24 * 3600
 
 
 @dataclass(frozen=True)
@@ -48,9 +54,10 @@ class Version:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.pins: dict[int, int] = {}  # a pin a snapshot, so equal sequences are pinned apart
+    def __init__(self, spark: SparkSession, path: str, auto_compact: bool = False):
+        """auto_compact: after each write, levels that are due are compacted."""
+        self.spark, self.path, self.auto_compact = spark, path.rstrip("/"), auto_compact
+        self.pins: dict[int, str] = {}  # this object's pins, a file each, so equal sequences are pinned apart
         self._next_pin = 0
         self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.version = self._load()
@@ -73,17 +80,58 @@ class Store:
             stream.close()
         return Version(**data | {"tables": tuple(Table(**t) for t in data["tables"])})
 
+    def _create(self, name: str) -> bool:
+        """An empty file, by the one caller who finds it missing."""
+        at = self._hadoop(name)
+        self._fs.mkdirs(at.getParent())
+        if self._fs.getScheme() == "file":  # Hadoop looks first and creates then
+            try:
+                os.close(os.open(at.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+            except FileExistsError:
+                return False
+            return True
+        try:
+            self._fs.create(at, False).close()
+        except Exception as e:  # noqa: BLE001
+            if self._fs.exists(at):
+                return False
+            raise e
+        return True
+
+    def _age(self, name: str) -> float:
+        at = self._hadoop(name)
+        return time.time() - self._fs.getFileStatus(at).getModificationTime() / 1000 if self._fs.exists(at) else 0.0
+
     def _install(self, new: Version) -> None:
-        """Publishes a version: written under another name, then renamed, which fails if the number is taken."""
+        """Publishes a version: its number is claimed first; the manifest is written under another name, then renamed."""
+        claim = f"claims/{new.number}"
+        newest = max((int(n[:-5]) for n in self._names("manifest") if n.endswith(".json") and n[:-5].isdigit()), default=0)
+        if newest < new.number and self._fs.exists(self._hadoop(claim)) and self._age(claim) > LEASE_SECONDS:
+            self._fs.delete(self._hadoop(claim), False)  # of a writer that died before it published
+        if newest >= new.number or not self._create(claim):
+            raise StoreError(f"version {new.number} was written by someone else")
         temp, final = self._hadoop(f"manifest/{uuid.uuid4().hex}.tmp"), self._hadoop(f"manifest/{new.number}.json")
-        out = self._fs.create(temp, False)
-        out.write(json.dumps(asdict(new)).encode())
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(temp, final):
+        try:
+            out = self._fs.create(temp, False)
+            out.write(json.dumps(asdict(new)).encode())
+            out.close()
+            if self._fs.exists(final) or not self._fs.rename(temp, final):
+                raise StoreError(f"version {new.number} was written by someone else")
+        except Exception:
             self._fs.delete(temp, False)
-            raise StoreError(f"version {new.number} was written by someone else")
+            if not self._fs.exists(final):
+                self._fs.delete(self._hadoop(claim), False)
+            raise
         self.version = new
 
+    def _publish(self, folders: list[str], new: Version) -> None:
+        """Installs a version and ends the leases on what was written for it."""
+        try:
+            self._install(new)
+        finally:
+            for folder in folders:
+                self._fs.delete(self._hadoop(f"leases/{folder.removeprefix('data/')}"), False)
+
     # Reading
 
     def log(self, start: bytes | None = None, end: bytes | None = None) -> DataFrame:
@@ -142,24 +190,30 @@ class Store:
         """Rows that bring their sequence numbers."""
         return self._append(rows, max(last_seq, self.version.last_seq))
 
-    def _lay_out(self, rows: DataFrame) -> DataFrame:
-        return rows.repartitionByRange("key").sortWithinPartitions("key", F.desc("seq"))
+    def _lay_out(self, rows: DataFrame, files: int | None = None) -> DataFrame:
+        """Range partitions, which never part a key, sorted by key and falling sequence."""
+        return (rows.repartitionByRange("key") if files is None else rows.repartitionByRange(files, "key")).sortWithinPartitions("key", F.desc("seq"))
 
     def _append(self, rows: DataFrame, last_seq: int, lay_out: bool = False) -> int:
         v = self.version
-        table = self._table(self._lay_out(rows) if lay_out else rows, 0, v.next_file)
-        self._install(replace(v, number=v.number + 1, last_seq=last_seq, next_file=v.next_file + 1, tables=v.tables + ((table,) if table else ())))
+        folder, files = self._write(self._lay_out(rows) if lay_out else rows, 0, v.next_file)
+        tables = (_merged(files, folder, v.next_file),) if files else ()
+        self._publish([folder], replace(v, number=v.number + 1, last_seq=last_seq, next_file=v.next_file + 1, tables=v.tables + tables))
+        if self.auto_compact:
+            self.maintain()
         return last_seq
 
-    def _table(self, rows: DataFrame, level: int, number: int) -> Table | None:
+    def _write(self, rows: DataFrame, level: int, number: int) -> tuple[str, tuple[Table, ...]]:
+        """The folder, leased, and a table for each of its files, in key order."""
         name = f"data/{number:08d}-{uuid.uuid4().hex}"
+        self._create(f"leases/{name.removeprefix('data/')}")
         missing = [c.split() for c in SCHEMA.split(", ") if c.split()[0] not in rows.columns]
         rows = rows.withColumns({n: F.lit(None).cast(t) for n, t in missing}) if missing else rows
         rows.select([F.col(c.split()[0]).cast(c.split()[1]) for c in SCHEMA.split(", ")]).write.option("compression", "zstd").parquet(f"{self.path}/{name}")
-        got = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{name}").agg(F.hex(F.min("key")), F.hex(F.max("key")), F.min("seq"), F.max("seq"), F.count("*")).first()
-        if not got[4]:
-            return None
-        return Table(level, name, number, self._fs.getContentSummary(self._hadoop(name)).getLength(), got[0].lower(), got[1].lower(), got[2], got[3], got[4])
+        written = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{name}")
+        each = written.groupBy("_metadata.file_name").agg(F.max("_metadata.file_size"), F.min("key").alias("low"), F.hex(F.max("key")), F.min("seq"), F.max("seq"), F.count("*"))
+        files = sorted(each.withColumn("low", F.hex("low")).collect(), key=lambda r: r[2])
+        return name, tuple(Table(level, f"{name}/{f}", number + i, size, low.lower(), high.lower(), first, last, n) for i, (f, size, low, high, first, last, n) in enumerate(files))
 
     def flush_all(self) -> int:
         """A tombstone for every live key. Returns how many."""
@@ -174,37 +228,74 @@ class Store:
     # Snapshots
 
     def pin(self) -> tuple[int, int]:
-        """(pin, sequence): versions visible at the sequence stay until `unpin`."""
+        """(pin, sequence): versions visible at the sequence stay until `unpin`, whoever compacts."""
         self._next_pin += 1
-        self.pins[self._next_pin] = self.version.last_seq
+        name = f"pins/{self.version.last_seq}-{uuid.uuid4().hex}"
+        self._create(name)
+        self.pins[self._next_pin] = name
         return self._next_pin, self.version.last_seq
 
     def unpin(self, pin: int) -> None:
-        self.pins.pop(pin, None)
+        name = self.pins.pop(pin, None)
+        if name:
+            self._fs.delete(self._hadoop(name), False)
 
     def oldest(self) -> int:
-        return min(self.pins.values(), default=self.version.last_seq)
+        """The least sequence pinned by any process, or the newest."""
+        return min([self.version.last_seq, *(int(n.split("-")[0]) for n in self._names("pins"))])
 
     # Maintenance
 
     def compact(self) -> tuple[int, int]:
-        """Rewrites all tables as one of level 1, without versions that no reader can see. Returns bytes before and after."""
+        """Rewrites all tables into level 1, without versions that no reader can see. Returns bytes before and after."""
         v = self.version
         before = sum(t.file_size for t in v.tables)
         if not v.tables:
             return 0, 0
-        table = self._table(self._lay_out(compaction.retained(self.log(), self.oldest())), 1, v.next_file)
-        self._install(replace(v, number=v.number + 1, next_file=v.next_file + 1, tables=(table,) if table else ()))
-        return before, table.file_size if table else 0
+        self._rewrite(v.tables, 1, None)
+        return before, sum(t.file_size for t in self.version.tables)
 
-    def maintain(self, trigger: int = compaction.L0_TRIGGER, passes: int = compaction.MAX_PASSES) -> int:
-        """Compacts while level 0 has `trigger` tables or more. Returns the number of passes."""
+    def _rewrite(self, inputs: tuple[Table, ...], level: int, deeper: DataFrame | None) -> None:
+        """Replaces tables by files of about TARGET_FILE_BYTES at a level."""
+        v = self.version
+        rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/{t.file}" for t in inputs])
+        files = max(1, -(-sum(t.file_size for t in inputs) // compaction.TARGET_FILE_BYTES))
+        folder, tables = self._write(self._lay_out(compaction.retained(rows, self.oldest(), deeper), files), level, v.next_file)
+        rest = tuple(t for t in v.tables if t not in inputs)
+        self._publish([folder], replace(v, number=v.number + 1, next_file=v.next_file + max(1, len(tables)), tables=rest + tables))
+
+    def compact_level(self, **options) -> bool:
+        """One job of the planner: a due level's source tables and those they overlap on the next level. False if no level is due."""
+        manifest = self.manifest()
+        top = compaction.pick_level(manifest, **options).first()
+        if top is None:
+            return False
+        chosen = {r["file"] for r in compaction.job_inputs(manifest, top["level"]).select("file").collect()}
+        deeper = manifest.where(F.col("level") > top["level"] + 1).select("min_key", "max_key")
+        self._rewrite(tuple(t for t in self.version.tables if t.file in chosen), top["level"] + 1, deeper)
+        return True
+
+    def maintain(self, trigger: int = compaction.L0_TRIGGER, passes: int = compaction.MAX_PASSES, **options) -> int:
+        """Runs the planner's jobs until no level is due. Returns the number of jobs."""
         for done in range(passes):
-            if sum(t.level == 0 for t in self.version.tables) < trigger:
+            sizes: dict[int, int] = {}
+            for t in self.version.tables:
+                sizes[t.level] = sizes.get(t.level, 0) + (1 if t.level == 0 else t.file_size)
+            base, multiplier = options.get("base", compaction.BASE_BYTES), options.get("multiplier", compaction.MULTIPLIER)
+            if not any(n >= (trigger if k == 0 else base * multiplier ** (k - 1)) for k, n in sizes.items()):
+                return done  # told without a job
+            if not self.compact_level(trigger=trigger, **options):
                 return done
-            self.compact()
         return passes
 
+    def compact_if_stale(self, ratio: float = compaction.STALE_RATIO, minimum: int = compaction.STALE_BYTES) -> bool:
+        """Rewrites everything where the stale share calls for it."""
+        s = self.stats()
+        due = s["data_bytes"] >= minimum and s["stale_ratio"] >= ratio
+        if due:
+            self.compact()
+        return due
+
     def manifest(self) -> DataFrame:
         rows = [(t.level, t.file, t.file_number, t.file_size, bytearray.fromhex(t.min_key), bytearray.fromhex(t.max_key), t.min_seq, t.max_seq, t.entry_count) for t in self.version.tables]
         from tidelog.schema import MANIFEST
@@ -212,14 +303,31 @@ class Store:
         return self.spark.createDataFrame(rows, MANIFEST)
 
     def vacuum(self) -> list[str]:
-        """Deletes data that the manifest doesn't name, and older manifests. Returns the data folders deleted."""
-        named = {t.file for t in self.version.tables}
-        gone = [f"data/{n}" for n in self._names("data") if f"data/{n}" not in named]
+        """Deletes data that no writer holds and the newest manifest doesn't name, and older manifests. Returns the data deleted.
+
+        Data is listed before leases, leases before the manifest: a folder that has lost its lease in between is named by then.
+        """
+        folders = self._names("data")
+        leased = {n for n in self._names("leases") if self._age(f"leases/{n}") <= LEASE_SECONDS}
+        newest = self._load()
+        named = {t.file for t in newest.tables}
+        holding = {"/".join(f.split("/")[:2]) for f in named}
+        gone = []
+        for name in folders:
+            if name in leased:
+                continue
+            if f"data/{name}" not in holding:
+                gone.append(f"data/{name}")
+            elif f"data/{name}" not in named:
+                gone += [f"data/{name}/{f}" for f in self._names(f"data/{name}") if f.endswith(".parquet") and f"data/{name}/{f}" not in named]
         for name in gone:
             self._fs.delete(self._hadoop(name), True)
         for name in self._names("manifest"):
-            if name != f"{self.version.number}.json":
+            if name.endswith(".json") and int(name[:-5]) < newest.number or name.endswith(".tmp") and self._age(f"manifest/{name}") > LEASE_SECONDS:
                 self._fs.delete(self._hadoop(f"manifest/{name}"), False)
+        for name in self._names("claims"):  # claims outlast their manifests, so that a writer left behind still loses
+            if int(name) < newest.number and self._age(f"claims/{name}") > LEASE_SECONDS:
+                self._fs.delete(self._hadoop(f"claims/{name}"), False)
         return gone
 
     def stats(self) -> dict[str, float]:
@@ -227,5 +335,13 @@ class Store:
         data = sum(t.file_size for t in self.version.tables)
         return {
             "tables": len(self.version.tables), "level0_tables": sum(t.level == 0 for t in self.version.tables), "entries": sum(t.entry_count for t in self.version.tables),
-            "data_bytes": data, "live_bytes": live, "stale_ratio": max(0.0, min(1.0, 1 - live / data)) if data else 0.0, "last_sequence": self.version.last_seq, "live_snapshots": len(self.pins),
+            "data_bytes": data, "live_bytes": live, "stale_ratio": max(0.0, min(1.0, 1 - live / data)) if data else 0.0, "last_sequence": self.version.last_seq, "live_snapshots": len(self._names("pins")),
         }
+
+
+def _merged(files: tuple[Table, ...], folder: str, number: int) -> Table:
+    """A folder as one table: level 0 counts writes, not files."""
+    return Table(
+        files[0].level, folder, number, sum(f.file_size for f in files), min(f.min_key for f in files), max(f.max_key for f in files),
+        min(f.min_seq for f in files), max(f.max_seq for f in files), sum(f.entry_count for f in files),
+    )
