@@ -136,3 +136,49 @@ def test_main_text_is_counted_over_all_shards(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"http://one.host/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
     got = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
     assert got == {i: f"text {i}" + "\nSee also" * (i % 3 == 0) for i in range(60)}
+
+
+def test_main_markup_outweighs_the_name_of_what_holds_it():
+    body = "<article><p>BODY</p></article>"
+    for outer in ('class="content has-sidebar"', 'class="layout with-nav"', 'class="page-wrapper no-widgets"', 'class="single-post ads-free"', 'id="page-search"', 'class="sidebar"'):
+        assert html_text.shard_texts([f"<body><div {outer}>{body}</div></body>"]) == ["BODY"], outer
+    # With an article elsewhere, articles in such containers are teasers; comments never are main text.
+    assert html_text.shard_texts([f"<div class='related-posts'><article>teaser</article></div>{body}"]) == ["BODY"]
+    assert html_text.shard_texts(["<section id=comments><article class=comment>c</article></section>"]) == [""]
+
+
+def test_names_are_read_whole():
+    page = """<main><h2 id="share">Share prices</h2><p class="search-engines">On search engines</p><p id="credits">Credits were given</p>
+    <div class="social-share">s</div><p class="ad">a</p><div class="cookieNotice">c</div><ul class="menu-list-2"><li>m</ul></main>"""
+    assert html_text.shard_texts([page]) == ["Share prices\nOn search engines\nCredits were given"]
+
+
+def test_nested_inline_and_hidden_elements():
+    assert html_text.shard_texts(['<article><p>x <i class="ad">A <i>B</i> C</i> y</p><p hidden>h</p><p style="display: none">n</p></article>']) == ["x\ny"]
+    assert html_text.shard_texts(["<article><header><h1>Title</h1></header><p>t</p></article>"]) == ["Title\nt"]
+
+
+def test_unique_text_outside_main_markup_stays():
+    """The suffix array decides on it: what recurs goes, what is unique stays, menus and short blocks go."""
+    lead = "lead {0} of page {0} with {0} words and {0} more {0}"
+    promo = "a promotion of ten words or more stands here on every page"
+    pages = [f"<div><a href=/>{lead.format(-i)}</a></div><div>{lead.format(i)}</div><article>text {i}</article><div>{promo}</div><div>short {i}</div>" for i in range(12)]
+    assert html_text.shard_texts(pages) == [f"{lead.format(i)}\ntext {i}" for i in range(12)]
+    assert html_text.shard_texts(pages[:1]) == ["text 0"]
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    for part in ("<div>", "<div></p>", "<b class=x>", "<p><foo>", "<li><b><ul>", "<i class=ad>"):
+        began = time.process_time()
+        html_text.page_blocks(part * 20_000 + "text")
+        assert time.process_time() - began < 5, part
+
+
+def test_host_size_does_not_matter(spark):
+    """511 and 513 pages, one shard and two."""
+    for n in (511, 513):
+        pages = [f"<main><p>text {i} of {i * 7}</p>" + "<p>Sign up now</p>" * (i % 4 != 0) + "</main>" for i in range(n)]
+        df = spark.createDataFrame([(i, f"http://one.host/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+        assert {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()} == {i: f"text {i} of {i * 7}" for i in range(n)}

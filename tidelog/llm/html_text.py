@@ -2,12 +2,12 @@
 
 A page becomes a stream of blocks, each with the context of its markup: main (inside <article>, <main>
 or the like), boilerplate (inside menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments, by element, class, id or role), or neutral. The token streams of a host's pages,
+scripts, styles, comments, by element, whole class, id or role), or neutral. The token streams of a host's pages,
 main blocks and the others apart, are concatenated and their suffixes sorted; runs of RUN tokens or more, and
 shorter blocks as a whole, are boilerplate of the host if they are on SHARE of its distinct pages and on
 LEAST_PAGES of them at least (more for main text): fewer may be copied articles. Main blocks, and neutral
-blocks of a page without main text, lose the covered tokens and keep the others; a page with main text drops
-what lies outside it.
+blocks of a page without main text, lose the covered tokens and keep the others; a page with main text keeps
+of what lies outside it the blocks of RUN tokens or more that the host's suffix array shows to be unique.
 
 A host's pages are cut into shards of about SHARD_PAGES pages, so that a hot host is many tasks. A run on a
 share of the host's pages is on that share of some shard's, so the suffix arrays of the shards propose
@@ -53,57 +53,112 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Opening any of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-BOILER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|captcha|comments?|respond|replies|disqus|cookies?|consent|gdpr|copyright|credits|"
-    r"commentlist|footer|masthead|menus?|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|modal|overlay|promos?|promotion|related|recommended|"
-    r"search|share|sharing|sidebars?|signup|login|skyscraper|social|sponsors?|sponsored|subscribe|subscription|toolbar|topbar|widgets?|adsbygoogle)(?:$|[\s_-])"
+#: What an opening tag looks through for an element that it closes.
+THROUGH = INLINE | {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
+#: On these an id is an anchor and says nothing of what they hold.
+ANCHORED = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figure figcaption caption section a span b i em strong".split())
+#: A class or id names boilerplate if its parts are of these, and of the words that may go with them.
+COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus".split())
+BOILER_WORDS = COMMENT_WORDS | frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsbygoogle skyscraper sponsor sponsors sponsored banner banners promo promos promotion "
+    "breadcrumb breadcrumbs captcha cookie cookies consent gdpr notice notices copyright credits footer masthead menu menus nav navbar navigation topbar toolbar pagination pager "
+    "newsletter newsletters subscribe subscription signup login popup modal overlay related recommended search share sharing social sidebar sidebars widget widgets".split()
+)
+WITH_WORDS = frozenset(
+    "site page main global top bottom left right primary secondary sub mobile desktop container wrapper wrap box block blocks list lists links link bar area section panel inner outer holder content "
+    "button buttons icon icons form message text title header heading item items unit slot posts post articles article stories news module region zone group row column media js gpt dfp".split()
 )
 #: A header is boilerplate outside main text; inside it holds the title.
-HEADER_NAME = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])")
-_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+HEADER_WORDS = frozenset("header site page main global top container wrapper inner".split())
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
-MAIN_NAME = re.compile(r"(?:^|\s)(?:article|article-body|article-content|post-content|entry-content|main-content|story-body|post-body)(?:$|\s)")
+MAIN_NAMES = frozenset("article article-body article-content post-content entry-content main-content story-body post-body".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: Parsed only: boilerplate by the name of a container alone, and main markup within that.
+SOFT, CLAIMED = 3, 4
+
+
+def _parts(name: str) -> list[str]:
+    return [w for w in (x.strip("0123456789").lower() for x in _PARTS.split(name)) if w]
 
 
-def _context(tag: str, attributes: str, outer: int, in_main: bool) -> int:
+def _context(tag: str, attributes: str, outer: int) -> int:
+    """The context that an element gives what it holds."""
     if outer == BOILER:
         return BOILER
-    names = role = ""
-    if attributes and "=" in attributes:
+    in_main = outer in (MAIN, CLAIMED)
+    names: list[str] = []
+    role = ""
+    if attributes:
         for k, v in _ATTRIBUTE.findall(attributes):
             k, v = k.lower(), v.strip("\"'")
-            if k in ("class", "id"):
-                names += " " + _CAMEL.sub("-", v).lower()
+            if k == "class" or k == "id" and tag not in ANCHORED:
+                names += v.split()
             elif k == "role":
-                role = v.lower()
-            elif k in ("hidden", "aria-hidden") and v.lower() in ("", "true", "hidden"):
+                role = v.strip().lower()
+            elif k in ("hidden", "aria-hidden") and v.lower() in ("", "true", "hidden") or k == "style" and _HIDDEN.search(v):
                 return BOILER
     if tag in BOILER_TAGS or role in BOILER_ROLES or (tag == "header" and not in_main):
         return BOILER
-    if names and tag not in ("html", "body", "article", "main") and (BOILER_NAME.search(names) or (not in_main and HEADER_NAME.search(names))):
-        return BOILER
-    if tag == "article" and names and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", names):
+    named = SOFT
+    if names and tag not in ("html", "body", "main"):
+        for name in names:
+            words = _parts(name)
+            if tag == "article" and not COMMENT_WORDS.intersection(words):
+                continue
+            if BOILER_WORDS.intersection(words) and BOILER_WORDS.union(WITH_WORDS).issuperset(words):
+                # What readers wrote is no main text, whatever it is marked up with.
+                named = BOILER if in_main or COMMENT_WORDS.intersection(words) else named
+                break
+            if not in_main and "header" in words and HEADER_WORDS.issuperset(words):
+                break
+        else:
+            named = outer
+    else:
+        named = outer
+    if named == BOILER:
         return BOILER
-    if tag in MAIN_TAGS or role in ("main", "article") or (names and MAIN_NAME.search(names)):
-        return MAIN
-    return outer
+    if tag in MAIN_TAGS or role in ("main", "article") or any(n.lower() in MAIN_NAMES for n in names):
+        return CLAIMED if outer in (SOFT, CLAIMED) else MAIN
+    return named
 
 
 def page_blocks(page: str) -> list[tuple[int, str]]:
-    """(context, text) of each block with text, in page order; white space is one space."""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []  # open elements that matter, with their context
-    context, pieces = NEUTRAL, []
+    """(context, text) of each block with text, in page order; white space is one space.
+
+    Main markup inside a container that is boilerplate by name alone is main text if the page has no other.
+    On a page with main text, short blocks outside it and those that are links mostly are boilerplate.
+    """
+    out: list[tuple[int, str, bool]] = []
+    # Open elements that matter: tag, context around it, and the open inline elements within it that don't matter, by tag.
+    stack: list[tuple[str, int, dict[str, int]]] = []
+    loose: dict[str, int] = {}
+    is_open: dict[str, int] = {}
+    context, pieces, linked = NEUTRAL, [], 0
+    links = False
 
     def end_block() -> None:
+        nonlocal linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append((context, text))
+                out.append((context, text, 2 * linked > len(text)))
             pieces.clear()
+        linked = 0
+
+    def close(k: int) -> None:
+        """Closes open elements down to the k-th."""
+        nonlocal context, loose
+        tag, outer, _ = stack[k]
+        if outer != context or tag not in INLINE:
+            end_block()
+        for t, _, _ in stack[k:]:
+            is_open[t] -= 1
+        context, loose = outer, stack[k][2]
+        del stack[k:]
 
     at, size = 0, len(page)
     while at < size:
@@ -112,7 +167,11 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
             low = size
         if low > at:
             data = page[at:low]
-            pieces.append(html_lib.unescape(data) if "&" in data else data)
+            if "&" in data:
+                data = html_lib.unescape(data)
+            pieces.append(data)
+            if links:
+                linked += len(data)
             at = low
             continue
         found = _TAG.match(page, at)
@@ -128,53 +187,66 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
         if tag == "br":
             pieces.append(" ")
             continue
-        if tag in INLINE and (closing or tag in VOID or not (attributes := found[3] or found[7]) or "=" not in attributes):
-            if closing and stack and stack[-1][0] == tag:
-                context = _pop(stack, len(stack) - 1, context, end_block)
+        if tag == "a":
+            links = not closing
+        if tag in INLINE:
+            if tag in VOID:
+                continue
+            if closing:
+                if loose.get(tag):
+                    loose[tag] -= 1
+                elif stack and stack[-1][0] == tag:
+                    close(len(stack) - 1)
+                continue
+            inner = _context(tag, found[3] or found[7] or "", context)
+            if inner == context:
+                loose[tag] = loose.get(tag, 0) + 1
+                continue
+            end_block()
+            stack.append((tag, context, loose))
+            is_open[tag] = is_open.get(tag, 0) + 1
+            context, loose = inner, {}
             continue
         if not closing and tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             end_block()
             at = end.end() if end else size
             continue
+        links = False
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    context = _pop(stack, k, context, end_block)
-                    break
+            if is_open.get(tag):
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close(k)
             else:
-                if tag not in INLINE:
-                    end_block()
+                end_block()
             continue
-        if tag not in INLINE:
-            end_block()
+        end_block()
         if tag in VOID:
             continue
-        if tag in ENDS_P or tag in SELF_CLOSING:
-            shut = SELF_CLOSING.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-            for k in range(len(stack) - 1, -1, -1):
+        shut = SELF_CLOSING.get(tag, frozenset()) | (_P if tag in ENDS_P else frozenset())
+        if shut and any(is_open.get(t) for t in shut):
+            for k in range(len(stack) - 1, max(-1, len(stack) - 1 - LOOK), -1):
                 if stack[k][0] in shut:
-                    context = _pop(stack, k, context, end_block)
+                    close(k)
                     break
-                if stack[k][0] not in INLINE and stack[k][0] not in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
+                if stack[k][0] not in THROUGH:
                     break
-        inner = _context(tag, found[3] or found[7] or "", context, any(c == MAIN for _, c in stack))
-        if tag in INLINE and inner == context:
-            continue
-        if inner != context:
-            end_block()
-        stack.append((tag, context))
-        context = inner
+        inner = _context(tag, found[3] or found[7] or "", context)
+        stack.append((tag, context, loose))
+        is_open[tag] = is_open.get(tag, 0) + 1
+        context, loose = inner, {}
     end_block()
-    return out
+    claimed = MAIN if not any(c == MAIN for c, _, _ in out) else BOILER
+    main = any(c in (MAIN, CLAIMED) for c, _, _ in out)
+    final = {MAIN: MAIN, NEUTRAL: NEUTRAL, BOILER: BOILER, SOFT: BOILER, CLAIMED: claimed}
+    return [(BOILER if main and c == NEUTRAL and (menu or t.count(" ") < RUN - 1) else final[c], t) for c, t, menu in out]
 
 
-def _pop(stack: list[tuple[str, int]], k: int, context: int, end_block) -> int:
-    outer = stack[k][1]
-    if outer != context or stack[k][0] not in INLINE:
-        end_block()
-    del stack[k:]
-    return outer
+_P = frozenset(["p"])
+#: Open elements that an opening tag looks through at most for one that it closes.
+LOOK = 64
 
 
 def _suffixes(streams: list[tuple[int, list[str]]], run: int):
@@ -276,8 +348,11 @@ def count_keys(contents: list, kind: int, wanted: np.ndarray) -> tuple[np.ndarra
     return np.unique(held[:, 0], return_counts=True)
 
 
-def cut_texts(contents: list, cut: dict[int, np.ndarray]) -> list[str]:
-    """Main texts of parsed pages, without the runs whose keys are given by kind."""
+def cut_texts(contents: list, cut: dict[int, np.ndarray], judged: bool) -> list[str]:
+    """Main texts of parsed pages, without the runs whose keys are given by kind.
+
+    judged: the host has pages enough to tell its boilerplate; then text outside main markup stays too, if it is unique.
+    """
     masks = {MAIN: repeat(None), NEUTRAL: repeat(None)}
     for kind in KINDS:
         streams = _streams(contents, kind)
@@ -290,9 +365,11 @@ def cut_texts(contents: list, cut: dict[int, np.ndarray]) -> list[str]:
         kept = []
         for context, text in blocks:
             mask = next(masks[MAIN if context == MAIN else NEUTRAL])
-            if context == MAIN or context == NEUTRAL and not main:
+            if context == MAIN or context == NEUTRAL and (not main or judged):
                 if mask is None or not mask.any():
                     kept.append(text)
+                elif context == NEUTRAL and main:
+                    continue
                 elif rest := [w for w, c in zip(text.split(" "), mask) if not c]:
                     kept.append(" ".join(rest))
         out.append("\n".join(kept))
@@ -307,7 +384,7 @@ def shard_texts(pages: list[str]) -> list[str]:
 def kept_texts(parsed: list[list[tuple[int, str]]]) -> list[str]:
     """Main texts of the parsed pages of one host."""
     distinct = [list(p) for p in dict.fromkeys(tuple(map(tuple, p)) for p in parsed)]
-    return cut_texts(parsed, {kind: candidates(distinct, kind, least_pages(kind, len(distinct)))[0] for kind in KINDS})
+    return cut_texts(parsed, {kind: candidates(distinct, kind, least_pages(kind, len(distinct)))[0] for kind in KINDS}, len(distinct) >= LEAST_PAGES[NEUTRAL])
 
 
 COUNTS = "host string, shards int, kind int, key long, pages long, of long"
@@ -381,11 +458,12 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     def cut(pdf: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         rows, mine = unpack(pdf)
-        if len(pdf) and pdf["shards"].iloc[0] > 1:
+        cut_up = len(pdf) > 0 and pdf["shards"].iloc[0] > 1
+        if cut_up:
             keys = {kind: runs.loc[runs["kind"] == kind, "key"].to_numpy() for kind in KINDS}
         else:
             keys = {kind: candidates(mine, kind, least_pages(kind, len(mine)))[0] for kind in KINDS}
-        texts = cut_texts([blocks for *_, blocks in rows], keys)
+        texts = cut_texts([blocks for *_, blocks in rows], keys, cut_up or len(mine) >= LEAST_PAGES[NEUTRAL])
         return pd.DataFrame({"page_id": pd.array([i for _, i, _, _ in rows], "Int64"), "url": pd.Series([u for _, _, u, _ in rows], dtype=object), "text": pd.Series(texts, dtype=object)})
 
     def everywhere(runs: DataFrame) -> DataFrame:
