@@ -36,7 +36,9 @@ MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SAMPLE_SETS, HOT_SHARE = 4096, 0.02
 #: Shingles a counting task gets about; sets and shingles of a block; sets of a matrix group.
 BUCKET_SHINGLES, BLOCK_SETS, BLOCK_SHINGLES, GROUP_SETS = 1_500_000, 512, 1_000_000, 16
-CHUNK_SETS = 2000
+CHUNK_SETS, CHUNK_SHINGLES = 2000, 2_000_000
+#: Counts of sets stop here; entries of a bucket that are held before those of such shingles go on.
+MANY, HELD_SHINGLES = 255, 6_000_000
 #: doc_ids from here on stand for null.
 NULL_ID = 1 << 62
 
@@ -127,7 +129,47 @@ def _low(tokens: np.ndarray) -> np.ndarray:
     return np.unique(tokens >> np.uint64(16))
 
 
-BLOB = "bucket int, sids binary, at binary, tokens binary, own_sids binary, own_sizes binary, hot_tokens binary, hot_sids binary"
+BLOB = "bucket long, sids binary, at binary, tokens binary, own_sids binary, own_sizes binary, hot_tokens binary, hot_sids binary"
+SHARED = "deal long, sids binary, at binary, tokens binary, counts binary, own_sids binary, own_sizes binary, hot_tokens binary, hot_sids binary"
+
+
+def _binary(data: np.ndarray, cuts: np.ndarray):
+    """An Arrow array of the rows data[cuts[i]:cuts[i + 1]], as bytes."""
+    import pyarrow as pa
+
+    size = data.itemsize * (data.shape[1] if data.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _rows(name: str, key, sids, tokens, counts, at_type, own: tuple, hot: tuple):
+    """An Arrow batch with a row for each key: the entries (sid, token), own (key, sid, sizes) and hot (key, token, sid) of that key.
+
+    Entries of one key are in the order of sids. No loop over keys: the cost is that of sorting.
+    """
+    import pyarrow as pa
+
+    rows = np.unique(np.concatenate([key, own[0], hot[0]]))
+
+    def cuts(sorted_keys: np.ndarray) -> np.ndarray:
+        return np.r_[np.searchsorted(sorted_keys, rows), len(sorted_keys)]
+
+    ends = cuts(key)
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (sids[1:] != sids[:-1])] if len(key) else np.empty(0, bool)
+    heads = np.flatnonzero(fresh)
+    sets = np.searchsorted(heads, ends)
+    local = np.cumsum(fresh) - 1 - np.repeat(sets[:-1], np.diff(ends))
+    six = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    columns = [pa.array(rows, pa.int64()), _binary(sids[heads], sets), _binary(local.astype(at_type), ends), _binary(six, ends)]
+    names = [name, "sids", "at", "tokens"]
+    if counts is not None:
+        columns.append(_binary(counts, ends))
+        names.append("counts")
+    for kind, parts in (("own", own), ("hot", hot)):
+        order = np.argsort(parts[0], kind="stable")
+        each = cuts(parts[0][order])
+        columns += [_binary(x[order], each) for x in parts[1:]]
+        names += ["own_sids", "own_sizes"] if kind == "own" else ["hot_tokens", "hot_sids"]
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
 def pack_tokens(docs: DataFrame, n: int, t: int, buckets: int, hot: np.ndarray) -> DataFrame:
@@ -138,53 +180,45 @@ def pack_tokens(docs: DataFrame, n: int, t: int, buckets: int, hot: np.ndarray)
     """
     hot_low = np.unique(hot >> np.uint64(16))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         seen: set[int] = set()  # copies within the task are sent once
-        for pdf in batches:
-            for start in range(0, len(pdf), CHUNK_SETS):
-                sids, sizes, light, post_t, post_s = [], [], [], [], []
-                for text in pdf["text"].iloc[start : start + CHUNK_SETS]:
-                    s = shingle_set(text, n)
-                    if not len(s) or (sid := set_id(s)) in seen:
-                        continue
-                    seen.add(sid)
-                    low, prefix = _low(s), len(s) - need(len(s), t) + 1
-                    if len(hot_low):
-                        at = np.minimum(np.searchsorted(hot_low, low), len(hot_low) - 1)
-                        is_hot = hot_low[at] == low
-                        mine, low = low[is_hot], low[~is_hot]
-                        if prefix > len(low):
-                            mine = mine[: prefix - len(low)]
-                            post_t.append(mine)
-                            post_s.append(np.full(len(mine), sid, np.int64))
-                    sids.append(sid)
-                    sizes.append((len(low), prefix))
-                    light.append(low)
-                if sids:
+        sids, sizes, light, post_t, post_s, held = [], [], [], [], [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                s = shingle_set(text.as_py(), n)
+                if not len(s) or (sid := set_id(s)) in seen:
+                    continue
+                seen.add(sid)
+                low, prefix = _low(s), len(s) - need(len(s), t) + 1
+                if len(hot_low):
+                    at = np.minimum(np.searchsorted(hot_low, low), len(hot_low) - 1)
+                    is_hot = hot_low[at] == low
+                    mine, low = low[is_hot], low[~is_hot]
+                    if prefix > len(low):
+                        mine = mine[: prefix - len(low)]
+                        post_t.append(mine)
+                        post_s.append(np.full(len(mine), sid, np.int64))
+                sids.append(sid)
+                sizes.append((len(low), prefix))
+                light.append(low)
+                held += len(low)
+                if len(sids) >= CHUNK_SETS or held >= CHUNK_SHINGLES:
                     yield _deal(np.array(sids, np.int64), np.array(sizes, np.int32).reshape(-1, 2), light, post_t, post_s, buckets)
+                    sids, sizes, light, post_t, post_s, held = [], [], [], [], [], 0
+        if sids:
+            yield _deal(np.array(sids, np.int64), np.array(sizes, np.int32).reshape(-1, 2), light, post_t, post_s, buckets)
 
-    return docs.select("text").mapInPandas(released(run), BLOB)
+    return docs.select("text").mapInArrow(released(run), BLOB)
 
 
-def _deal(sids, sizes, light, post_t, post_s, buckets: int) -> pd.DataFrame:
+def _deal(sids, sizes, light, post_t, post_s, buckets: int):
     tokens = np.concatenate(light)
-    at = np.repeat(np.arange(len(sids), dtype=np.uint16), [len(x) for x in light])
-    bucket = (tokens % np.uint64(buckets)).astype(np.int32)
+    at = np.repeat(np.arange(len(sids)), [len(x) for x in light])
+    bucket = (tokens % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    tokens, at, cuts = tokens[order], at[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
     hot_t, hot_s = (np.concatenate(post_t), np.concatenate(post_s)) if post_t else (np.empty(0, np.uint64), np.empty(0, np.int64))
-    hot_bucket = (hot_t % np.uint64(buckets)).astype(np.int32)
-    home = sids % buckets
-    rows = []
-    for b in range(buckets):
-        i, j = cuts[b], cuts[b + 1]
-        h, own = hot_bucket == b, home == b
-        if i == j and not h.any() and not own.any():
-            continue
-        used, local = np.unique(at[i:j], return_inverse=True)
-        six = tokens[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-        rows.append((b, sids[used].tobytes(), local.astype(np.uint16).tobytes(), six, sids[own].tobytes(), sizes[own].tobytes(), hot_t[h].tobytes(), hot_s[h].tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "sids", "at", "tokens", "own_sids", "own_sizes", "hot_tokens", "hot_sids"])
+    hot_bucket = (hot_t % np.uint64(buckets)).astype(np.int64)
+    return _rows("bucket", bucket[order], sids[at[order]], tokens[order], None, np.uint16, (sids % buckets, sids, sizes), (hot_bucket, hot_t, hot_s))
 
 
 def _eight(six: bytes) -> np.ndarray:
@@ -193,45 +227,72 @@ def _eight(six: bytes) -> np.ndarray:
     return a.view("<u8").ravel()
 
 
-SHARED = "deal int, sids binary, at binary, tokens binary, counts binary, own_sids binary, own_sizes binary, hot_tokens binary, hot_sids binary"
-
-
-def count_tokens(blobs: DataFrame, deals: int) -> DataFrame:
-    """From each bucket, the entries whose shingle two sets or more have, with min(255, that number), dealt by set."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(x, np.int64) for x in pdf["sids"]]
-        known = np.unique(np.concatenate(parts))
-        tokens = np.concatenate([_eight(x) for x in pdf["tokens"]])
-        who = np.concatenate([np.searchsorted(known, s)[np.frombuffer(at, np.uint16)] for s, at in zip(parts, pdf["at"])]).astype(np.uint32)
-        order = np.lexsort((who, tokens))
-        tokens, who = tokens[order], who[order]
+class Bucket:
+    """The entries of one bucket, as they come; those of a shingle that MANY sets hold don't wait for the others."""
+
+    def __init__(self, deals: int, limit: int):
+        self.deals, self.limit = deals, limit
+        self.tokens: list[np.ndarray] = []
+        self.sids: list[np.ndarray] = []
+        self.held, self.full = 0, np.empty(0, np.uint64)
+        self.own: list[tuple] = []
+        self.hot: list[tuple] = []
+
+    def add(self, sids, at, tokens, own_sids, own_sizes, hot_tokens, hot_sids):
+        self.own.append((np.frombuffer(own_sids, np.int64), np.frombuffer(own_sizes, np.int32).reshape(-1, 2)))
+        self.hot.append((np.frombuffer(hot_tokens, np.uint64), np.frombuffer(hot_sids, np.int64)))
+        self.tokens.append(_eight(tokens))
+        self.sids.append(np.frombuffer(sids, np.int64)[np.frombuffer(at, np.uint16)])
+        self.held += len(self.tokens[-1])
+        if self.held > self.limit:
+            yield from self.out(False)
+            self.limit = max(self.limit, 2 * self.held)  # what is left are few entries a shingle
+
+    def out(self, last: bool):
+        """Entries whose shingle two sets or more have, with min(MANY, that number), dealt by set; before the last, only the full ones."""
+        tokens, sids = (np.concatenate(self.tokens), np.concatenate(self.sids)) if self.tokens else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        order = np.lexsort((sids, tokens))
+        tokens, sids = tokens[order], sids[order]
         fresh = np.ones(len(tokens), bool)
-        fresh[1:] = (tokens[1:] != tokens[:-1]) | (who[1:] != who[:-1])  # the same set from several tasks
-        tokens, who = tokens[fresh], who[fresh]
+        fresh[1:] = (tokens[1:] != tokens[:-1]) | (sids[1:] != sids[:-1])  # the same set from several tasks
+        tokens, sids = tokens[fresh], sids[fresh]
         starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.empty(0, int)
         each = np.diff(np.r_[starts, len(tokens)])
-        count = np.repeat(each, each)
-        keep = count > 1
-        tokens, who, count = tokens[keep], who[keep], np.minimum(count[keep], 255).astype(np.uint8)
-        cells = _by((known % deals).astype(np.int32)[who], who)
-        own_s, own_n = np.frombuffer(b"".join(pdf["own_sids"]), np.int64), np.frombuffer(b"".join(pdf["own_sizes"]), np.int32).reshape(-1, 2)
-        hot_t, hot_s = np.frombuffer(b"".join(pdf["hot_tokens"]), np.uint64), np.frombuffer(b"".join(pdf["hot_sids"]), np.int64)
-        rows = []
-        for d in sorted(cells.keys() | set((own_s % deals).tolist()) | set((hot_s % deals).tolist())):
-            at, used = cells.get(d, (np.empty(0, int), np.empty(0, int)))
-            own, hot = own_s % deals == d, hot_s % deals == d
-            six = tokens[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-            rows.append((d, known[used].tobytes(), np.searchsorted(used, who[at]).astype(np.uint32).tobytes(), six, count[at].tobytes(), own_s[own].tobytes(), own_n[own].tobytes(), hot_t[hot].tobytes(), hot_s[hot].tobytes()))
-        return pd.DataFrame(rows, columns=["deal", "sids", "at", "tokens", "counts", "own_sids", "own_sizes", "hot_tokens", "hot_sids"])
-
-    return blobs.groupBy("bucket").applyInPandas(run, SHARED)
+        each[np.isin(tokens[starts], self.full)] = MANY
+        self.full = np.union1d(self.full, tokens[starts[each >= MANY]])
+        count = np.minimum(np.repeat(each, np.diff(np.r_[starts, len(tokens)])), MANY).astype(np.uint8)
+        keep = count > 1 if last else count == MANY
+        self.tokens, self.sids = [tokens[~keep]], [sids[~keep]]
+        self.held = len(self.tokens[0])
+        tokens, sids, count = tokens[keep], sids[keep], count[keep]
+        deal = sids % self.deals
+        order = np.lexsort((sids, deal))
+        own_s, own_n = (np.concatenate(x) for x in zip(*self.own)) if self.own else (np.empty(0, np.int64), np.empty((0, 2), np.int32))
+        hot_t, hot_s = (np.concatenate(x) for x in zip(*self.hot)) if self.hot else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        self.own, self.hot = [], []
+        if len(tokens) or len(own_s) or len(hot_t):
+            yield _rows("deal", deal[order], sids[order], tokens[order], count[order], np.uint32, (own_s % self.deals, own_s, own_n), (hot_s % self.deals, hot_t, hot_s))
+
+
+def count_tokens(blobs: DataFrame, deals: int, parts: int) -> DataFrame:
+    """From each bucket, the entries whose shingle two sets or more have, with min(MANY, that number), dealt by set.
+
+    A bucket's rows are streamed, so that a shingle of very many sets is never held whole.
+    """
 
+    def run(batches):
+        key, bucket = None, None
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[0] != key:
+                    if bucket is not None:
+                        yield from bucket.out(True)
+                    key, bucket = row[0], Bucket(deals, HELD_SHINGLES)
+                yield from bucket.add(*row[1:])
+        if bucket is not None:
+            yield from bucket.out(True)
 
-def _by(key: np.ndarray, who: np.ndarray) -> dict:
-    order = np.argsort(key, kind="stable")
-    keys, cuts = np.unique(key[order], return_index=True)
-    return {int(k): (at := order[i:j], np.unique(who[at])) for k, i, j in zip(keys, cuts, [*cuts[1:], len(key)])}
+    return blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(released(run), SHARED)
 
 
 def post_prefixes(shared: DataFrame) -> DataFrame:
@@ -249,6 +310,8 @@ def post_prefixes(shared: DataFrame) -> DataFrame:
             who, tokens, counts = np.concatenate(who), np.concatenate(tokens), np.concatenate(counts)
             order = np.lexsort((tokens, counts, who))
             who, tokens = who[order], tokens[order]
+            once = np.r_[True, (who[1:] != who[:-1]) | (tokens[1:] != tokens[:-1])]  # copies of a set, met apart
+            who, tokens = who[once], tokens[once]
             n_shared = np.bincount(who, minlength=len(known))
             first = np.cumsum(n_shared) - n_shared
             rank = np.arange(len(who)) - first[who]
@@ -301,13 +364,6 @@ def link_sets(sets: list[np.ndarray], t: int, side: np.ndarray | None = None) ->
                 links.append((q, o))
                 labels[labels == labels[o]] = labels[q]
 
-    if m <= 8:
-        for q in range(m):
-            for o in range(q + 1, m):
-                if labels[q] != labels[o] and (side is None or side[q] != side[o]) and 100 * min(sizes[q], sizes[o]) >= t * max(sizes[q], sizes[o]):
-                    test(q, np.array([o]), np.array([len(np.intersect1d(sets[q], sets[o], assume_unique=True))]))
-        return links
-
     with np.errstate(over="ignore"):
         order = np.argsort([(s * MULTIPLY).min() for s in sets], kind="stable")
     flat, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
@@ -379,8 +435,10 @@ def _labelled(docs: DataFrame, n: int, t: int) -> DataFrame:
     shingles = found.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(32, shingles // BUCKET_SHINGLES)
 
-    posted = scratch.write(post_prefixes(count_tokens(pack_tokens(docs, n, t, buckets, hot), buckets)), "posted")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A task for each bucket, so that a task's share doesn't grow with the input.
+    counted = count_tokens(pack_tokens(docs, n, t, buckets, hot), buckets, max(parts, buckets))
+    posted = scratch.write(post_prefixes(counted.repartition(max(parts, buckets), "deal")), "posted")
     dealt = posted.repartition(parts, F.coalesce("token", "a")).sortWithinPartitions("token")
     clusters = connected_components(_forest(dealt), "jaccard-clusters").select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
 
