@@ -6,6 +6,7 @@ import corpus_pipeline
 from tests.llm.test_ngram_join import brute
 from tests.llm.test_packing import best_fit, check
 from tests.llm.test_quality import signals
+from tests.llm.test_toxicity import plain_scores
 from tidelog.llm import ngram_join, quality, toxicity
 
 
@@ -47,7 +48,7 @@ def test_stages_against_brute_force(spark, sf):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in rows)
     mild = stage["toxicity"](spark, kept, sf)
     model = toxicity.train(kept, spark.read.parquet(f"{sf}/labels.parquet"))
-    rows = [r for r, s in zip(rows, model.scores([t for _, t in rows], {})) if s < 0.5]
+    rows = [r for r, s in zip(rows, plain_scores(model, [t for _, t in rows])) if s < 0.5]
     assert sorted(r["doc_id"] for r in mild.collect()) == sorted(i for i, _ in rows)
     one = stage["ngram_jaccard"](spark, mild, sf)
     low = {c for _, _, c in brute(rows, 5, 80)}

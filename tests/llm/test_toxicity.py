@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -79,3 +80,62 @@ def test_odd_documents(spark, odd, no_docs):
     assert no_docs.withColumn("s", toxicity.score_column(none, F.col("text"))).count() == 0
     nothing = toxicity.train(odd, labels.limit(0))
     assert {r["s"] for r in odd.select(toxicity.score_column(nothing, F.col("text")).alias("s")).collect()} == {0.0}
+
+
+def plain_scores(model, texts):
+    """The scores by the definition: features counted word by word, no finder and no cache."""
+    from xxhash import xxh3_64_intdigest
+
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    out = []
+    for text in texts:
+        count = {}
+        for w in set(re.findall(r"\w+", (text or "").lower())):
+            for x in ["=" + w] + [f"{k}{w[:k]}" for k in (4, 5, 6, 7, 8) if len(w) >= k]:
+                f = xxh3_64_intdigest(x) % 2**30
+                count[f] = count.get(f, 0) + 1
+        z = model.bias + sum(weight.get(4 * f + k, 0.0) for f, n in count.items() for k in range(3) if n >= 2**k)
+        out.append(1 / (1 + np.exp(-z)) if z > -700 else 0.0)
+    return out
+
+
+def test_scores_against_a_plain_scorer(spark, monkeypatch):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    assert len(model.features)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    want = dict(zip(texts, plain_scores(model, texts.values())))
+    got = {r["doc_id"]: r["score"] for r in toxicity.op5_toxicity(spark, folder).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-9
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 50)  # a finder that forgets finds the same
+    some = list(texts.values())[:200]
+    assert np.abs(model.scores(some, model.finder()) - plain_scores(model, some)).max() < 1e-9
+
+
+def test_the_sample_is_exact_at_any_size(spark):
+    """At 2e10 documents, about 9,000 are still drawn: shares don't round to nothing."""
+    n = 1_000_000
+    drawn = spark.range(n).select(F.col("id").alias("doc_id")).where(toxicity.chosen_share(9000, 2 * 10**10)).count()
+    assert drawn <= 10
+    many = spark.range(n).select(F.col("id").alias("doc_id")).where(toxicity.chosen_share(9000 * 2 * 10**4, 2 * 10**10)).count()
+    assert abs(many - 9000) < 500
+    assert spark.range(100).select(F.col("id").alias("doc_id")).where(toxicity.chosen_share(9000, 100)).count() == 100
+
+
+def test_known_positives_are_not_corrected_for_twice():
+    """With every positive known, the rest holds none: the risk is that of plain two-class learning, and its boundary parts them."""
+    rng = np.random.default_rng(2)
+    positive = np.arange(1200) % 4 == 0
+    rows = [np.flatnonzero(rng.random(6) < (0.6 if y else 0.05)) for y in positive]
+    bias, weights = toxicity.fit(rows, positive, 0.25, 6, known=0.25)
+    z = np.array([bias + weights[r].sum() for r in rows])
+    assert (z[positive] > 0).mean() > 0.85 and (z[~positive] > 0).mean() < 0.1
+
+
+def test_frequent_features_are_counted_whole(spark):
+    texts = ["alpha beta gamma"] * 3 + ["alpha beta"] * 2 + ["alpha"]
+    df = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)] + [(50, 0, "alpha"), (60, 1, "alpha")], "row long, y int, text string").repartition(4)
+    features, counts = toxicity.frequent_features(df, set(range(6)) | {50}, 4)
+    of = {w: toxicity.text_features(w, {}).tolist() for w in ("alpha", "beta", "gamma")}
+    assert dict(zip(features.tolist(), counts.tolist())) == {f: 6 for f in of["alpha"]} | {f: 5 for f in of["beta"]}
