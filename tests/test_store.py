@@ -315,6 +315,32 @@ def test_commands_images_and_configs():
         assert formats.get_varint(formats.put_varint(n), 0) == (n, len(formats.put_varint(n)))
 
 
+def test_replicated_logs_and_snapshots(spark, tmp_path):
+    log = formats.raft_log_header(4, 2) + b"".join(formats.raft_entry(i, 2 + i // 7, i % 3, b"c%d" % i) for i in range(5, 9))
+    want = [(i, 2 + i // 7, i % 3, b"c%d" % i) for i in range(5, 9)]
+    assert list(formats.raft_entries(log)) == want and list(formats.raft_entries(log[:-1])) == want[:-1]
+    for i in range(24, len(log)):
+        bad = bytearray(log)
+        bad[i] ^= 1
+        got = list(formats.raft_entries(bytes(bad)))
+        assert got == want[: len(got)] and len(got) < 4
+    assert list(formats.raft_entries(formats.raft_log_header() + formats.raft_entry(2, 1, 0, b""))) == []
+    with pytest.raises(CorruptRecord):
+        list(formats.raft_entries(b"XXXX" + log[4:]))
+    config, image = formats.encode_config(["a"], [], []), formats.encode_image([(b"k", b"v")])
+    shot = formats.encode_snapshot(9, 3, config, image)
+    assert formats.decode_snapshot(shot) == (9, 3, config, image)
+    for i in [*range(40), *range(40 + len(config), len(shot))]:
+        bad = bytearray(shot)
+        bad[i] ^= 1
+        with pytest.raises(CorruptRecord):
+            formats.decode_snapshot(bytes(bad))
+    (tmp_path / "1.raft").write_bytes(log)
+    (tmp_path / "s.bin").write_bytes(shot)
+    assert [r["index"] for r in formats.read_raft_log(spark, f"{tmp_path}/*.raft").orderBy("index").collect()] == [5, 6, 7, 8]
+    assert [(r["index"], r["term"], bytes(r["key"])) for r in formats.read_snapshot(spark, f"{tmp_path}/s.bin").collect()] == [(9, 3, b"k")]
+
+
 def test_binary_logs_as_dataframes(spark, tmp_path):
     (tmp_path / "1.wal").write_bytes(formats.wal_record(1, [(b"a", b"1"), (b"b", b"2")]) + formats.wal_record(3, [(b"a", None)]) + b"torn")
     log = formats.read_wal(spark, f"{tmp_path}/*.wal")
@@ -325,6 +351,17 @@ def test_binary_logs_as_dataframes(spark, tmp_path):
     assert formats.read_image(spark, f"{tmp_path}/*.image").count() == 1
 
 
+def test_a_store_recovers_from_its_logs(spark, store, tmp_path):
+    """Logs in number order, the last one torn; what the manifest already holds isn't applied again."""
+    (tmp_path / "1.wal").write_bytes(formats.wal_record(1, [(b"a", b"1"), (b"b", b"2")]))
+    assert store.replay(formats.read_wal(spark, f"{tmp_path}/*.wal")) == 2
+    (tmp_path / "2.wal").write_bytes(formats.wal_record(3, [(b"a", None), (b"c", b"3")]) + formats.wal_record(5, [(b"d", b"4")])[:-2])
+    assert store.replay(formats.read_wal(spark, f"{tmp_path}/*.wal")) == 4
+    assert store.replay(formats.read_wal(spark, f"{tmp_path}/*.wal")) == 4
+    again = Store(spark, store.path)
+    assert dict(pairs(again.scan())) == {b"b": b"2", b"c": b"3"} and again.log().count() == 4
+
+
 def test_wire():
     data = b"*2\r\n$3\r\nGET\r\n$1\r\nk\r\nPING  x\r\n*1\r\n$4\r\nPI"
     args, at = wire.parse_request(data)

@@ -190,6 +190,12 @@ class Store:
         """Rows that bring their sequence numbers."""
         return self._append(rows, max(last_seq, self.version.last_seq))
 
+    def replay(self, log: DataFrame) -> int:
+        """Recovery: appends the ops of a write-ahead log (key, seq, kind, value, ..) that the store hasn't got yet. Returns the last sequence number."""
+        missing = log.where(F.col("seq") > self.version.last_seq)
+        top = missing.agg(F.max("seq")).first()[0]
+        return self.version.last_seq if top is None else self.append(missing, top)
+
     def _lay_out(self, rows: DataFrame, files: int | None = None) -> DataFrame:
         """Range partitions, which never part a key, sorted by key and falling sequence."""
         return (rows.repartitionByRange("key") if files is None else rows.repartitionByRange(files, "key")).sortWithinPartitions("key", F.desc("seq"))

@@ -528,7 +528,11 @@ def _(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
-@query("record_checksums", None)
+@query("record_checksums", """WITH RECURSIVE step AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+tbl AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents)
+SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS crc32 FROM b, tbl""")
 def _(spark, d):
     """CRC-32 of each document's bytes, as records carry it."""
     return adapters.read(spark, d, "documents").select("doc_id", F.crc32(K.to_bytes(F.col("text"))).alias("crc32"))

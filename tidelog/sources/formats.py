@@ -19,6 +19,8 @@ from tidelog.shared import ship
 
 # Fixed values of the formats.
 RECORD_MAGIC, RECORD_VERSION = b"KCB1", 1
+#: Of replicated logs and their snapshots (fixed values): magic bytes, version, the largest command.
+RAFT_LOG_MAGIC, SNAPSHOT_MAGIC, RAFT_VERSION, MAX_COMMAND = b"KCRL", b"KCSN", 1, 64 * 1024 * 1024
 TOMBSTONE, CONTINUES = 1, 2
 COMMAND_VERSION = 1
 IMAGE_VERSION = 1
@@ -219,6 +221,52 @@ def decode_config(data: bytes) -> tuple[list[str], list[str], list[str]]:
     return voters, outgoing, learners
 
 
+def raft_log_header(snapshot_index: int = 0, snapshot_term: int = 0) -> bytes:
+    return RAFT_LOG_MAGIC + struct.pack("<HHqq", RAFT_VERSION, 0, snapshot_index, snapshot_term)
+
+
+def raft_entry(index: int, term: int, kind: int, command: bytes) -> bytes:
+    body = struct.pack("<qqBi", index, term, kind, len(command)) + command
+    return struct.pack("<I", zlib.crc32(body)) + body
+
+
+def raft_entries(data: bytes, file: str = "") -> Iterator[tuple[int, int, int, bytes]]:
+    """(index, term, kind, command) of a replicated log, up to the first torn or damaged entry or gap."""
+    if len(data) < 24:
+        return
+    version, _, index, term = struct.unpack_from("<HHqq", data, 4)
+    if data[:4] != RAFT_LOG_MAGIC or version != RAFT_VERSION or index < 0 or term < 0:
+        raise CorruptRecord("not a replicated log", file, 0)
+    at = 24
+    while at + 25 <= len(data):
+        crc, found, term, kind, size = struct.unpack_from("<IqqBi", data, at)
+        end = at + 25 + size
+        if not 0 <= size <= MAX_COMMAND or end > len(data) or kind > 2 or zlib.crc32(data[at + 4 : end]) != crc or found != index + 1:
+            return
+        yield found, term, kind, data[at + 25 : end]
+        index, at = found, end
+
+
+def encode_snapshot(index: int, term: int, config: bytes, payload: bytes) -> bytes:
+    """A state machine's snapshot: a header and a payload, each with a checksum."""
+    header = SNAPSHOT_MAGIC + struct.pack("<HHqqiq", RAFT_VERSION, 0, index, term, len(config), len(payload))
+    return header + struct.pack("<I", zlib.crc32(header)) + config + struct.pack("<I", zlib.crc32(payload)) + payload
+
+
+def decode_snapshot(data: bytes, file: str = "") -> tuple[int, int, bytes, bytes]:
+    """(index, term, config, payload); lengths are trusted only after the header's checksum, the payload only after its own."""
+    if len(data) < 40 or data[:4] != SNAPSHOT_MAGIC or struct.unpack_from("<I", data, 36)[0] != zlib.crc32(data[:36]):
+        raise CorruptRecord("bad snapshot header", file, 0)
+    version, _, index, term, of_config, of_payload = struct.unpack_from("<HHqqiq", data, 4)
+    start = 40 + of_config + 4
+    if version != RAFT_VERSION or of_config < 0 or of_payload < 0 or start + of_payload > len(data):
+        raise CorruptRecord("snapshot cut short", file, 40)
+    payload = data[start : start + of_payload]
+    if zlib.crc32(payload) != struct.unpack_from("<I", data, start - 4)[0]:
+        raise CorruptRecord("a snapshot's payload does not match its checksum", file, start)
+    return index, term, data[40 : 40 + of_config], payload
+
+
 def _read(spark: SparkSession, path: str, rows, schema: str) -> DataFrame:
     ship(spark)
 
@@ -247,3 +295,18 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def read_image(spark: SparkSession, path: str) -> DataFrame:
     """(file, key, value) of state images."""
     return _read(spark, path, lambda data, file: ((file, k, v) for k, v in image_pairs(data, file)), "file string, key binary, value binary")
+
+
+def read_raft_log(spark: SparkSession, path: str) -> DataFrame:
+    """(file, index, term, entry_kind, command) of replicated logs."""
+    return _read(spark, path, lambda data, file: ((file, *e) for e in raft_entries(data, file)), "file string, index bigint, term bigint, entry_kind tinyint, command binary")
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """(file, index, term, key, value) of snapshots whose payload is a state image."""
+
+    def rows(data: bytes, file: str):
+        index, term, _, payload = decode_snapshot(data, file)
+        return ((file, index, term, k, v) for k, v in image_pairs(payload, file))
+
+    return _read(spark, path, rows, "file string, index bigint, term bigint, key binary, value binary")
