@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below a half; learnt from these documents and the labels that may be learnt from."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("__score", toxicity.score_column(model, F.col("text"))).where("__score < 0.5").drop("__score")
+    return docs.where(toxicity.score_column(model, F.col("text")) < 0.5)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
