@@ -33,7 +33,7 @@ from tidelog.llm.graph import connected_components
 
 MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Sets in the sample that finds hot shingles, and the share of them that makes one hot.
-SAMPLE_SETS, HOT_SHARE = 4096, 0.02
+SAMPLE_SETS, HOT_SHARE, SAMPLE_PARTS = 4096, 0.02, 16
 #: Shingles a counting task gets about; sets and shingles of a block; sets of a matrix group.
 BUCKET_SHINGLES, BLOCK_SETS, BLOCK_SHINGLES, GROUP_SETS = 1_500_000, 512, 1_000_000, 16
 CHUNK_SETS, CHUNK_SHINGLES = 2000, 2_000_000
@@ -92,15 +92,22 @@ def set_table(docs: DataFrame, n: int, sampled_of: int) -> DataFrame:
 
 
 def hot_shingles(sets: DataFrame) -> np.ndarray:
-    """Sorted shingles held by HOT_SHARE of the sampled sets or more, 9 sets at least."""
+    """Sorted shingles held by HOT_SHARE of the sampled sets or more, 9 sets at least. Tasks count on their own and deal counts by shingle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [np.frombuffer(x, np.uint64) for pdf in batches for x in pdf["sample"]]
-        tokens, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, int))
-        yield pd.DataFrame({"hot": [tokens[count >= max(9, HOT_SHARE * len(parts))].tobytes()]})
+        tokens, times = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        part = (tokens % np.uint64(SAMPLE_PARTS)).astype(int)
+        yield pd.DataFrame([(k, len(parts), tokens[part == k].tobytes(), times[part == k].astype(np.int32).tobytes()) for k in range(SAMPLE_PARTS)], columns=["part", "sets", "tokens", "times"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        tokens, at = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["tokens"]]), return_inverse=True)
+        times = np.bincount(at, weights=np.concatenate([np.frombuffer(x, np.int32) for x in pdf["times"]]), minlength=len(tokens))
+        return pd.DataFrame({"hot": [tokens[times >= max(9, HOT_SHARE * pdf["sets"].sum())].tobytes()]})
 
-    got = sets.where("sample is not null").dropDuplicates(["sid"]).select("sample").coalesce(1).mapInPandas(run, "hot binary").collect()
-    return np.frombuffer(bytes(got[0][0]) if got else b"", np.uint64)
+    sample = sets.where("sample is not null").dropDuplicates(["sid"]).select("sample")
+    got = sample.mapInPandas(count, "part int, sets int, tokens binary, times binary").groupBy("part").applyInPandas(add, "hot binary").collect()
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(bytes(r["hot"]), np.uint64) for r in got]]))
 
 
 class Labels:
@@ -470,9 +477,11 @@ def keep_one(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
     """One document of each component, that with the smallest doc_id, with all its columns; documents without shingles all stay."""
     labelled = _labelled(docs, n, t)
     first = labelled.where("sid is not null").groupBy("group").agg(F.min(F.struct("id", "text_hash")).alias("k")).select("k.id", "k.text_hash")
-    keys = first.unionByName(labelled.where("sid is null").select("id", "text_hash").distinct()).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
-    marked = docs.withColumn("__hash", F.xxhash64("text")).withColumn("__id", F.coalesce("doc_id", F.lit(NULL_ID) + F.shiftrightunsigned("__hash", 3)))
-    return marked.join(keys, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    keys = first.unionByName(labelled.where("sid is null").select("id", "text_hash").distinct())
+    # The user's columns travel in a struct, whatever their names.
+    text_hash = F.xxhash64("text")
+    marked = docs.select(F.struct(*docs.columns).alias("row"), text_hash.alias("text_hash"), F.coalesce("doc_id", F.lit(NULL_ID) + F.shiftrightunsigned(text_hash, 3)).alias("id"))
+    return marked.join(keys, ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"]).select("row.*")
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
