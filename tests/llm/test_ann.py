@@ -66,3 +66,35 @@ def test_query_recall(spark, sf):
     assert set(got) == {i for i in ids.tolist() if i % 20 == 0}
     hits = sum(len(got[q] & set(exact(ids, vectors, int(np.searchsorted(ids, q)), 20)[0])) for q in got)
     assert hits >= 0.95 * 20 * len(got)
+
+
+def test_double_precision_and_large_components(spark):
+    """Vectors that single precision can't part, and components beyond its range."""
+    rows = [(0, [1.0, 0.0]), (1, [1.0 + 1e-12, 0.0]), (2, [1.0 + 2e-12, 0.0]), (3, [0.5, 1e200]), (40, [1e200, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ann.search_index(ann.build_index(ann.usable(df), 6), ann.usable(df).where("vec_id % 20 = 0"), 5).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert found[0] == [(40, 1e200), (2, 1.0 + 2e-12), (1, 1.0 + 1e-12), (3, 0.5)]
+    assert [i for i, _ in found[40]] == [3, 2, 1, 0] and found[40][0][1] == 1e200 * 0.5 + 1e200
+
+
+def test_layers_are_grown_by_insertion():
+    """Every node is linked, links go both ways where there is room, and upper nodes are the first of the layer below."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(1500, 16))
+    graph = ann.build_graph(np.arange(1500), vectors, 21)
+    assert len(graph["layers"][0]) == 1500 and [len(x) for x in graph["layers"]] == sorted((len(x) for x in graph["layers"]), reverse=True)
+    seen, todo = {0}, [0]
+    while todo:
+        for x in graph["layers"][0][todo.pop()].tolist():
+            if x >= 0 and x not in seen:
+                seen.add(x)
+                todo.append(x)
+    assert len(seen) == 1500
+    for links in graph["layers"]:
+        assert links.max() < len(links) and (links != np.arange(len(links))[:, None]).all()
+    found = ann.search_graph(graph, np.arange(0, 1500, 20), vectors[::20], 10)
+    hits = sum(len(set(f[0].tolist()) & set(exact(np.arange(1500), vectors, q, 10)[0])) for q, f in zip(range(0, 1500, 20), found))
+    assert hits >= 0.95 * 10 * 75

@@ -1,14 +1,17 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, results merged.
 
 Vectors are dealt to shards of about SHARD rows by a hash of vec_id; each shard's graph is one row
-of the index table: node vectors, and each layer's neighbours as one flat array. Every query block is
-searched in every shard, and the shards' best are merged per block. Nearness is the inner product,
-turned into distance for the graph by one more coordinate that gives all nodes the same norm.
+of the index table: node vectors, and each layer's neighbours as one flat array. A graph grows by insertion, from the
+top layer down: a batch of nodes descends to its layer, searches what is there with a beam, links to diverse near nodes
+and is linked back. Every query block is searched in every shard, and the shards' best are merged per block.
+Nearness is the inner product, turned into distance for the graph by one more coordinate that gives all nodes the same norm.
 Equal vectors of a shard are one node with a list of ids, so a hot vector can't fill a
-neighbourhood. Scores are inner products of the original vectors in double precision.
+neighbourhood. Graphs are searched on scaled single-precision vectors; scores are inner products of the original
+vectors in double precision.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part;
-rows that repeat id and vector count once; a null vec_id takes no part; ties go to the smaller
+rows that repeat id and vector count once; an id with several vectors is a candidate with each, and as a query
+has the least of them; a null vec_id takes no part; ties go to the smaller
 vec_id; vectors of another length are not candidates of a query; an empty table gives no rows.
 """
 
@@ -24,61 +27,88 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import Scratch, ship, stream_groups, table
 
-SHARD, BLOCK = 2048, 256
-LINKS, CANDIDATES, BEAM, UPPER_BEAM, AT_ONCE = 16, 48, 96, 16, 4
+SHARD, BLOCK = 8192, 256
+LINKS, CANDIDATES, BEAM, UPPER_BEAM, AT_ONCE = 16, 32, 144, 16, 8
+#: Nodes inserted together; of the first ones all pairs are looked at.
+TOGETHER, FIRST = 256, 128
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, v, dim) of the vectors that take part."""
-    v = F.transform(F.col(embedding), lambda x: x.cast("float"))
+    v = F.transform(F.col(embedding), lambda x: x.cast("double"))
     rows = vectors.select(F.col(vec_id).alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.where(~bad).where(F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
 
-def _nearest(points: np.ndarray, k: int) -> np.ndarray:
-    """Each point's k nearest others, nearest first."""
-    norm = (points**2).sum(1)
-    out = []
-    for i in range(0, len(points), 512):
-        d = norm[i : i + 512, None] + norm[None] - 2 * points[i : i + 512] @ points.T
-        d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-        near = np.argpartition(d, min(k, d.shape[1] - 1), axis=1)[:, :k]
-        out.append(np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), 1, kind="stable"), 1))
-    return np.concatenate(out)
-
-
-def _layer(points: np.ndarray, links: int) -> np.ndarray:
-    """Flat neighbour array (n, 2 * links), -1 where there is none: diverse near neighbours and those that chose this node."""
-    n = len(points)
-    out = np.full((n, 2 * links), -1, np.int32)
-    if n < 2:
-        return out
-    near = _nearest(points, min(CANDIDATES, n - 1))
-    far = ((points[near] - points[:, None]) ** 2).sum(2)
-    chosen = np.full((n, links), -1, np.int64)
-    count = np.zeros(n, int)
-    rows = np.arange(n)
+def _choose(points: np.ndarray, rows: np.ndarray, near: np.ndarray, links: int) -> np.ndarray:
+    """For rows, `links` diverse ones of their candidates (-1: none), which come nearest first."""
+    mine = points[rows]
+    far = np.where(near >= 0, ((points[near] - mine[:, None]) ** 2).sum(2), np.inf)
+    chosen = np.full((len(rows), links), -1, np.int64)
+    count, at = np.zeros(len(rows), int), np.arange(len(rows))
     for c in range(near.shape[1]):  # a candidate nearer to a chosen one than to the node is left out
         x = near[:, c]
         gap = ((points[x][:, None] - points[np.maximum(chosen, 0)]) ** 2).sum(2)
-        ok = ((gap >= far[:, c, None]) | (chosen < 0)).all(1) & (count < links)
-        chosen[rows[ok], count[ok]] = x[ok]
+        ok = ((gap >= far[:, c, None]) | (chosen < 0)).all(1) & (count < links) & (x >= 0)
+        chosen[at[ok], count[ok]] = x[ok]
         count[ok] += 1
     for c in range(near.shape[1]):  # then the nearest fill what is left
         x = near[:, c]
-        ok = (count < links) & ~(chosen == x[:, None]).any(1)
-        chosen[rows[ok], count[ok]] = x[ok]
+        ok = (count < links) & (x >= 0) & ~(chosen == x[:, None]).any(1)
+        chosen[at[ok], count[ok]] = x[ok]
         count[ok] += 1
-    out[:, :links] = chosen
-    a, b = np.nonzero(chosen >= 0)
-    a, b = chosen[a, b], a  # b chose a
-    d = ((points[a] - points[b]) ** 2).sum(1)
-    order = np.lexsort((d, a))
-    a, b = a[order], b[order]
-    place = np.arange(len(a)) - np.searchsorted(a, a)
-    ok = place < links
-    out[a[ok], links + place[ok]] = b[ok]
+    return chosen
+
+
+def _link_back(points: np.ndarray, links: np.ndarray, width: int, rows: np.ndarray, chosen: np.ndarray) -> None:
+    """The second half of a node's links are the nearest of those that chose it."""
+    r, c = np.nonzero(chosen >= 0)
+    to, by = chosen[r, c], rows[r]
+    told = np.unique(to)
+    k, c = np.nonzero(links[told, width:] >= 0)
+    to, by = np.r_[to, told[k]], np.r_[by, links[told[k], width + c]]
+    order = np.lexsort((((points[to] - points[by]) ** 2).sum(1), to))
+    to, by = to[order], by[order]
+    place = np.arange(len(to)) - np.searchsorted(to, to)
+    ok = place < width
+    links[told, width:] = -1
+    links[to[ok], width + place[ok]] = by[ok]
+
+
+def _layer(points: np.ndarray, upper: list[np.ndarray], links: int) -> np.ndarray:
+    """Flat neighbour array (n, 2 * links), -1 where there is none, grown by insertion in the order of points.
+
+    upper: the layers above, lowest first; their nodes are the first of these points.
+    """
+    n = len(points)
+    out = np.full((n, 2 * links), -1, np.int32)
+    at = 0
+    while at < n:
+        rows = np.arange(at, min(n, at + (TOGETHER if at else FIRST)))
+        q = points[rows]
+        own = q @ q.T  # all pairs of the batch; norms are equal, so the largest product is the least distance
+        np.fill_diagonal(own, -np.inf)
+        k = min(CANDIDATES, len(rows) - 1)
+        near = np.argsort(-own, axis=1, kind="stable")[:, :k]
+        score = np.take_along_axis(own, near, 1)
+        near = near + at
+        if at:
+            seeds = np.zeros((len(rows), 1), np.int64)
+            for above in reversed(upper):
+                found = _beam(points[: len(above)], above, q, np.minimum(seeds, len(above) - 1), 4)
+                seeds = np.c_[np.where(found < at, found, -1), np.zeros(len(rows), np.int64)]
+                seeds[:, :-1][seeds[:, :-1] == 0] = -1
+            found = _beam(points[:at], out[:at], q, seeds, CANDIDATES)
+            value = np.where(found >= 0, np.einsum("qkd,qd->qk", points[found], q), -np.inf)
+            near, score = np.c_[found, near], np.c_[value, score]
+            order = np.argsort(-score, axis=1, kind="stable")[:, :CANDIDATES]
+            near = np.where(np.take_along_axis(score, order, 1) > -np.inf, np.take_along_axis(near, order, 1), -1)
+        if near.shape[1]:
+            chosen = _choose(points, rows, near, links)
+            out[rows, :links] = chosen
+            _link_back(points, out, links, rows, chosen)
+        at = rows[-1] + 1
     return out
 
 
@@ -89,18 +119,34 @@ def build_graph(ids: np.ndarray, vectors: np.ndarray, keep: int) -> dict:
     same = np.r_[False, (vectors[1:] == vectors[:-1]).all(1)]
     node = np.cumsum(~same) - 1
     again = same & np.r_[False, ids[1:] == ids[:-1]]
-    ids, node, first = ids[~again], node[~again], np.flatnonzero(~same)
-    place = np.arange(len(node)) - np.searchsorted(node, node)
-    ids, node = ids[place < keep], node[place < keep]
-    points = vectors[first].astype(np.float32)
+    first = np.flatnonzero(~same)
+    # Higher nodes come first, so that a layer's nodes are the first ones of the layer below.
+    draw = 1 - np.random.default_rng(len(first)).random(len(first))
+    level = np.floor(-np.log(draw) / np.log(LINKS)).astype(int)
+    turn = np.lexsort((draw, -level))
+    place = np.empty(len(first), np.int64)
+    place[turn] = np.arange(len(first))
+    ids, node = ids[~again], place[node[~again]]
+    order = np.lexsort((ids, node))
+    ids, node = ids[order], node[order]
+    rank = np.arange(len(node)) - np.searchsorted(node, node)
+    ids, node = ids[rank < keep], node[rank < keep]
+    exact, level = vectors[first[turn]], level[turn]
+    points = _single(exact)
     norm = (points.astype(np.float64) ** 2).sum(1)
     tall = np.c_[points, np.sqrt(np.maximum(norm.max() - norm, 0))].astype(np.float32)
-    level = np.floor(-np.log(np.random.default_rng(len(points)).random(len(points))) / np.log(LINKS)).astype(int)
-    layers = []
-    for at in range(level.max() + 1):
-        members = np.flatnonzero(level >= at)
-        layers.append((members.astype(np.int32), _layer(tall[members], LINKS)))
-    return {"points": points, "ids": ids, "starts": np.searchsorted(node, np.arange(len(points) + 1)), "layers": layers}
+    layers: list[np.ndarray] = []
+    for at in range(level.max(), -1, -1):
+        layers.insert(0, _layer(tall[: np.searchsorted(-level, -at, side="right")], layers, LINKS))
+    if (exact.astype(np.float32) == exact).all():
+        exact = exact.astype(np.float32)
+    return {"points": points, "exact": exact, "ids": ids, "starts": np.searchsorted(node, np.arange(len(points) + 1)), "layers": layers}
+
+
+def _single(vectors: np.ndarray) -> np.ndarray:
+    """In single precision, scaled to components of at most 1: the order of inner products stays."""
+    top = np.abs(vectors).max()
+    return (vectors / top).astype(np.float32)
 
 
 def _beam(points: np.ndarray, links: np.ndarray, queries: np.ndarray, seeds: np.ndarray, width: int) -> np.ndarray:
@@ -141,18 +187,13 @@ def _beam(points: np.ndarray, links: np.ndarray, queries: np.ndarray, seeds: np.
 def search_graph(graph: dict, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(ids, scores) of each query's best k in the shard but its own id."""
     layers, points = graph["layers"], graph["points"]
-    q32 = queries.astype(np.float32)
-    members, links = layers[-1]
+    q32 = (queries / np.abs(queries).max(axis=1, keepdims=True)).astype(np.float32)
     seeds = np.zeros((len(queries), 1), np.int64)
-    for at in range(len(layers) - 1, 0, -1):
-        members, links = layers[at]
-        found = _beam(points[members], links, q32, seeds, UPPER_BEAM)
-        below = layers[at - 1][0]
-        seeds = np.where(found >= 0, np.searchsorted(below, members[np.maximum(found, 0)]), -1)
-    members, links = layers[0]
-    found = _beam(points[members], links, q32, seeds, max(BEAM, 2 * k))
+    for links in reversed(layers[1:]):
+        seeds = _beam(points[: len(links)], links, q32, seeds, UPPER_BEAM)
+    found = _beam(points, layers[0], q32, seeds, max(BEAM, 2 * k))
     top = found[:, : k + 8]
-    exact = np.einsum("qkd,qd->qk", points[np.maximum(top, 0)].astype(np.float64), queries.astype(np.float64))
+    exact = np.einsum("qkd,qd->qk", graph["exact"][np.maximum(top, 0)].astype(np.float64), queries)
     out = []
     for i in range(len(queries)):
         ids, scores = [], []
@@ -173,7 +214,7 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
-    return np.array(pdf["v"].tolist(), np.float32)
+    return np.array(pdf["v"].tolist(), np.float64)
 
 
 def build_index(rows: DataFrame, keep: int) -> DataFrame:
@@ -219,7 +260,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     graph = pickle.loads(data)
                     continue
                 ids = np.frombuffer(ids, np.int64)
-                found = search_graph(graph, ids, np.frombuffer(data, np.float32).reshape(len(ids), dim), k)
+                found = search_graph(graph, ids, np.frombuffer(data, np.float64).reshape(len(ids), dim), k)
                 yield pd.DataFrame({"dim": [dim], "block": [block], "ids": [ids.tobytes()], "counts": [np.array([len(f[0]) for f in found], np.int32).tobytes()], "found": [np.concatenate([f[0] for f in found]).tobytes()], "scores": [np.concatenate([f[1] for f in found]).tobytes()]})
 
     found = meet.mapInPandas(search, "dim int, block int, ids binary, counts binary, found binary, scores binary")
@@ -249,4 +290,5 @@ def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = usable(table(spark, sf_dir, "embeddings"))
     index = Scratch(spark, "ann").write(build_index(rows, keep=21), "index")
-    return search_index(index, rows.where("vec_id % 20 = 0").dropDuplicates(["vec_id"]), k=20)
+    queries = rows.where("vec_id % 20 = 0").groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.v", "q.dim")
+    return search_index(index, queries, k=20)
