@@ -76,3 +76,13 @@ def test_empty(spark):
 
 def test_query_equals_sql(spark, sf):
     same(warc.op6_warc(spark, sf), connect(sf), warc.OP6_SQL)
+
+
+def test_archives_roll(spark, tmp_path):
+    """Small archives, large records: nothing is lost, and no record is parted."""
+    rows = [(i, f"http://a/{i}", f"{i} " * (150_000 if i == 7 else 900), "x") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, record string").coalesce(2)
+    made = Scratch(spark, "warc").write(warc.write_archives(warc.chunk_rows(warc.record_plan(df)), f"file://{tmp_path}/archives", roll=500), "manifest")
+    assert made.count() > 8 and made.agg({"records": "sum"}).first()[0] == 40
+    got = {r["page_id"]: (r["length"], r["digest"]) for r in warc.read_archives(made, with_data=False).where("last").collect()}
+    assert got == {i: (len(h.encode()), hashlib.sha1(h.encode()).hexdigest()) for i, _, h, _ in rows}

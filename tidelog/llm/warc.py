@@ -1,8 +1,9 @@
 """WARC archives of web pages, written and read as a chunked record table.
 
-Payloads travel as (record, chunk number, bytes) rows of at most CHUNK bytes, cut on the JVM side,
-so that no worker ever holds a whole record: the writer streams chunks into one gzip member per record,
-the reader streams archives back into chunk rows that carry the digest and length so far. Of records
+Payloads travel as (record, chunk number, bytes) rows of at most CHUNK bytes, cut at the scan, before anything is
+shuffled, so that no shuffle and no worker holds a whole record: the writer streams chunks into one gzip member per record,
+the reader streams archives back into chunk rows that carry the digest and length so far. An archive of ROLL bytes is
+followed by another one. Of records
 with equal payloads of MIN_REVISIT bytes or more, the one with the largest page_id is a response, others
 are revisits of it without a payload of their own.
 
@@ -29,30 +30,38 @@ from tidelog.llm.common import Scratch, ship, table
 
 CHUNK = 256 * 1024
 MIN_REVISIT = 1000
+#: Bytes from which on an archive takes no further record.
+ROLL = 1_000_000_000
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 1
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n\r\n"
 
 
 def record_plan(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, bytes, sha1, refers_to): refers_to null for responses."""
+    """(page_id, url, record, payload, bytes, sha1): a record each row."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
-    narrow = rows.where(F.col("bytes") >= MIN_REVISIT).select("page_id", "sha1")
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.monotonically_increasing_id().alias("record"), payload.alias("payload"))
+    return rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
+
+
+def revisits(plan: DataFrame) -> DataFrame:
+    """(page_id, sha1, refers_to) of the records that revisit another; payloads are left at the scan."""
+    narrow = plan.where(F.col("bytes") >= MIN_REVISIT).select("page_id", "sha1")
     # Counted before the shuffle; only groups of several distinct ids go on, as narrow rows.
     groups = narrow.groupBy("sha1").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1 AND target IS NOT NULL")
-    revisits = narrow.join(groups, "sha1").where(~F.col("page_id").eqNullSafe(F.col("target"))).select("page_id", "sha1", F.col("target").alias("refers_to")).distinct()
-    r = revisits.select(F.col("page_id").alias("r_id"), F.col("sha1").alias("r_sha1"), "refers_to")
-    return rows.join(r, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("sha1") == F.col("r_sha1")), "left").select("page_id", "url", "payload", "bytes", "sha1", "refers_to")
+    return narrow.join(groups, "sha1").where(~F.col("page_id").eqNullSafe(F.col("target"))).select("page_id", "sha1", F.col("target").alias("refers_to")).distinct()
 
 
 def chunk_rows(plan: DataFrame) -> DataFrame:
-    """The plan with its payloads cut: a row for each chunk, a record's chunks together and in order; a revisit has one, empty."""
-    many = F.when(F.col("refers_to").isNotNull(), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("bytes") / CHUNK).cast("int")))
-    cut = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0), many - 1)))
-    data = F.when(F.col("refers_to").isNull(), F.substring("payload", F.col("chunk") * CHUNK + 1, F.lit(CHUNK))).otherwise(F.lit(b""))
-    return cut.select("page_id", "url", "bytes", "sha1", "refers_to", "chunk", data.alias("data"))
+    """(page_id, url, bytes, sha1, refers_to, chunk, data): a row for each chunk, a record's chunks together and in order; a
+    revisit has one, empty; refers_to is null for responses."""
+    cut = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("bytes") / CHUNK).cast("int")) - 1)))
+    cut = cut.select("page_id", "url", "record", "bytes", "sha1", "chunk", F.substring("payload", F.col("chunk") * CHUNK + 1, F.lit(CHUNK)).alias("data"))
+    r = revisits(plan).select(F.col("page_id").alias("r_id"), F.col("sha1").alias("r_sha1"), "refers_to")
+    known = cut.join(r, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("sha1") == F.col("r_sha1")), "left")
+    known = known.where(F.col("refers_to").isNull() | (F.col("chunk") == 0)).withColumn("data", F.when(F.col("refers_to").isNull(), F.col("data")).otherwise(F.lit(b"")))
+    # A record's chunks come from one task of the scan and share the join's keys, so they are in one partition.
+    return known.sortWithinPartitions("record", "chunk").select("page_id", "url", "bytes", "sha1", "refers_to", "chunk", "data")
 
 
 def _open(uri: str, mode: str):
@@ -81,35 +90,42 @@ def record_head(page_id, url: str, size: int, sha1: str, refers_to) -> bytes:
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + HTTP
 
 
-def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
-    """Writes an archive a task from `chunk_rows`; returns (path, records) of the archives."""
+def write_archives(chunks: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
+    """Writes archives from `chunk_rows`, each of one task and about `roll` bytes; returns (path, records)."""
     ship(chunks.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        final = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
-        store = path = out = gz = None
-        records = 0
+        store = path = out = gz = final = None
+        records = written = archives = 0
+
+        def whole() -> pd.DataFrame:
+            out.close()
+            store.move(path, path.removesuffix(".open"))
+            return pd.DataFrame({"path": [final], "records": [records]})
+
         for pdf in batches:
             pdf = pdf.astype({"page_id": "Int64", "refers_to": "Int64"})
             for page_id, url, size, sha1, refers_to, chunk, data in zip(pdf["page_id"], pdf["url"], pdf["bytes"], pdf["sha1"], pdf["refers_to"], pdf["chunk"], pdf["data"]):
-                if out is None:
-                    store, path, out = _open(final + ".open", "w")
                 if chunk == 0:
+                    if out is not None and written >= roll:
+                        yield whole()
+                        out, records, written, archives = None, 0, 0, archives + 1
+                    if out is None:
+                        final = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{archives}.warc.gz"
+                        store, path, out = _open(final + ".open", "w")
                     page_id, refers_to = (None if x is pd.NA else int(x) for x in (page_id, refers_to))
                     gz, left = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0 if refers_to is not None else int(size)
-                    out.write(gz.compress(record_head(page_id, url, int(size), sha1, refers_to)))
+                    written += out.write(gz.compress(record_head(page_id, url, int(size), sha1, refers_to)))
                     records += 1
-                out.write(gz.compress(data))
+                written += out.write(gz.compress(data))
                 left -= len(data)
                 if left <= 0:
-                    out.write(gz.compress(b"\r\n\r\n") + gz.flush())
+                    written += out.write(gz.compress(b"\r\n\r\n") + gz.flush())
         if out is not None:
-            out.close()
-            store.move(path, path.removesuffix(".open"))
-            yield pd.DataFrame({"path": [final], "records": [records]})
+            yield whole()
 
     return chunks.mapInPandas(run, "path string, records long")
 
