@@ -71,3 +71,13 @@ def test_extra_conversation(spark, sf):
     said = "\\### Assistant: </turn> ok"
     assert row["n_turns"] == 2 and row["loss_chars"] == len(said) and row["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
     assert row["turns_sha256"] == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+
+
+def test_many_rows_of_one_turn_take_linear_time(spark):
+    import time
+
+    n = 30_000
+    df = spark.range(n).selectExpr("1 AS conv_id", "CAST(NULL AS bigint) AS turn", "CASE WHEN id % 3 = 0 THEN 'user' ELSE 'assistant' END AS role", "concat('t', id) AS text")
+    began = time.perf_counter()
+    row = chat.format_chat(df).selectExpr("length(formatted) AS n", "size(loss_mask) AS m").first()
+    assert row["m"] == n - n // 3 and time.perf_counter() - began < 20

@@ -5,7 +5,8 @@ Template: a block of adjacent turns of one role is `### role:\\n` + texts parted
 output can be read back exactly, merged turns included.
 
 A conversation is first gathered in slices of SLICE turn numbers, so that a very long one is sorted
-and merged by many tasks; then its slices, already arrays of merged blocks, are stitched.
+and merged by many tasks; then its slices, already arrays of merged blocks, are stitched. All steps are linear in a
+slice's rows but the sort, so many rows of one turn number, or without any, are no worse.
 
 Defined results: rows are ordered by turn (null first), then role, then text; repeated rows stay, as
 turns of their own; null role or text is empty; a null conv_id is a conversation; an
@@ -37,16 +38,18 @@ def unescape(text: Column, codes=ESCAPES) -> Column:
 
 
 def _blocks(turns: Column) -> Column:
-    """Merges adjacent turns of one role: array<struct<role, texts>>. Quadratic in its input, which is a slice."""
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
+    """Merges adjacent turns of one role: array<struct<role, texts>>. Each block is cut out between two places where the role changes."""
 
-    def add(done: Column, turn: Column) -> Column:
-        last = F.element_at(done, -1)
-        same = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["role"] == turn["role"])
-        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(turn["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))))
-        return F.when(same, longer).otherwise(F.concat(done, F.array(F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts")))))
+    def cut(t: Column) -> Column:
+        opens = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (F.get(t, i - 1)["role"] != x["role"]), i)), lambda i: i.isNotNull())
 
-    return F.aggregate(turns, empty, add)
+        def block(starts: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(t))
+            return F.transform(starts, lambda at, k: F.struct(F.get(t, at)["role"].alias("role"), F.transform(F.slice(t, at + 1, end(k) - at), lambda x: x["text"]).alias("texts")))
+
+        return let(opens, block)
+
+    return let(turns, cut)
 
 
 def format_chat(conversations: DataFrame) -> DataFrame:
