@@ -31,6 +31,18 @@ def percentiles(samples: DataFrame, value: str, by: list[str] | None = None, at=
     return samples.groupBy(*(by or [])).agg(*exprs, F.count(value).alias("n"), F.avg(value).alias("mean"))
 
 
+def mean_ticks(samples: DataFrame, ticks: str, by: list[str] | None = None) -> DataFrame:
+    """(by.., mean_ticks, n): the mean of whole ticks, cut to a whole one."""
+    return samples.groupBy(*(by or [])).agg(F.floor(F.sum(ticks) / F.count(ticks)).cast("bigint").alias("mean_ticks"), F.count(ticks).alias("n"))
+
+
+def throughput(samples: DataFrame, at: str, by: list[str] | None = None) -> DataFrame:
+    """(by.., n, seconds, per_second): operations over the time from the first to the last of them, 0 where no time passes."""
+    span = (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))) / 1e6
+    got = samples.groupBy(*(by or [])).agg(F.count("*").alias("n"), span.alias("seconds"))
+    return got.withColumn("per_second", F.coalesce(F.try_divide(F.col("n").cast("double"), F.col("seconds")), F.lit(0.0)))
+
+
 def pooled(samples: list[DataFrame], value: str, by: list[str] | None = None, at=(0.5, 0.95, 0.99, 0.999)) -> DataFrame:
     """Percentiles of all samples together; percentiles are never averaged."""
     out = samples[0]

@@ -458,8 +458,13 @@ def _(spark, d):
 
 @query("mean_latency", "SELECT event_type, CAST(floor(sum(CAST(round(value * 1000) AS BIGINT)) / count(*)) AS BIGINT) AS mean_ticks, count(*)::BIGINT AS n FROM events GROUP BY event_type")
 def _(spark, d):
-    ticks = F.round(F.col("value") * 1000).cast("bigint")
-    return _events(spark, d).groupBy("event_type").agg(F.floor(F.sum(ticks) / F.count("*")).cast("bigint").alias("mean_ticks"), F.count("*").alias("n"))
+    return metrics.mean_ticks(_events(spark, d).withColumn("ticks", F.round(F.col("value") * 1000).cast("bigint")), "ticks", ["event_type"])
+
+
+@query("throughput", "SELECT event_type, count(*)::BIGINT AS n, (max(event_id) - min(event_id))::DOUBLE AS seconds, round(coalesce(count(*) / nullif(max(event_id) - min(event_id), 0), 0), 9) AS per_second FROM events GROUP BY event_type")
+def _(spark, d):
+    """An operation a second is issued."""
+    return metrics.throughput(_events(spark, d).withColumn("at", F.timestamp_seconds("event_id")), "at", ["event_type"]).withColumn("per_second", F.round("per_second", 9))
 
 
 @query("engine_winner", """WITH a AS (SELECT event_type, quantile_disc(value, 0.5) FILTER (user_id % 2 = 0) AS x, quantile_disc(value, 0.5) FILTER (user_id % 2 = 1) AS y FROM events GROUP BY event_type)
@@ -856,6 +861,26 @@ def _(spark, d):
     return spark.read.parquet(f"{out}/table").where(F.col("kind") == PUT).select("key", "seq", "value")
 
 
+@query("tail_latency", """WITH b AS (SELECT event_id // 25 * 60 AS t, user_id % 3 AS node, event_type, le, count(*) FILTER (value / 100 <= le) AS n
+  FROM events, (SELECT unnest([0.5, 2.0, 5.0, 10.0, 'Infinity'::DOUBLE]) AS le) GROUP BY ALL),
+c AS (SELECT t, node, event_type, le, sum(n) OVER (PARTITION BY node, event_type, le ORDER BY t) AS v FROM b),
+i AS (SELECT t, le, v - first_value(v) OVER (PARTITION BY node, event_type, le ORDER BY t RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) AS d FROM c),
+s AS (SELECT t, le, sum(d) AS n FROM i GROUP BY t, le),
+r AS (SELECT t, le, n, 0.99 * max(n) OVER (PARTITION BY t) AS want, lag(le, 1, 0) OVER o AS low, lag(n, 1, 0) OVER o AS under FROM s WINDOW o AS (PARTITION BY t ORDER BY le)),
+q AS (SELECT t, first(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * coalesce((want - under) / nullif(n - under, 0), 0) END ORDER BY le) AS x FROM r WHERE n >= want AND want > 0 GROUP BY t)
+SELECT t::BIGINT AS t, round(x, 9) AS quantile FROM q""")
+def _(spark, d):
+    """The latency rule's figure: growth of each series' buckets over five minutes, summed over nodes by bound, then the quantile."""
+    bounds = (0.5, 2.0, 5.0, 10.0)
+    e = _events(spark, d).select(F.floor(F.col("event_id") / 25).alias("m"), (F.col("user_id") % 3).cast("string").alias("node"), "event_type", (F.col("value") / 100).alias("x"))
+    counts = e.groupBy("m", "node", "event_type").agg(*[F.count_if(F.col("x") <= b).alias(f"b{i}") for i, b in enumerate(bounds)], F.count("*").alias("b4"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(str(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate([*bounds, "+Inf"])])).alias("p")
+    rows = counts.select("m", "node", "event_type", pairs).select("m", "node", F.create_map(F.lit("le"), F.col("p.le"), F.lit("type"), F.col("event_type")).alias("labels"), "p.n")
+    series = Window.partitionBy("node", F.col("labels")["le"], F.col("labels")["type"]).orderBy("m")
+    scraped = rows.select(F.timestamp_seconds(F.col("m") * 60).alias("ts"), "node", F.lit("seconds_bucket").alias("name"), "labels", F.sum("n").over(series).cast("double").alias("value"))
+    return alerts.quantile(scraped, "seconds_bucket", 0.99, 300).select(F.unix_seconds("ts").alias("t"), F.round("quantile", 9).alias("quantile"))
+
+
 @query("glob_regexes", r"""SELECT * FROM (VALUES ('user:*', '(?s)\Auser\x{3a}.*\z'), ('k[a-c]', '(?s)\Ak[a-c]\z'), ('k?', '(?s)\Ak.\z'), ('[^x]*', '(?s)\A[^x].*\z'),
   ('a\*b', '(?s)\Aa\x{2a}b\z'), ('[]', '(?s)\A(?!)\z'), ('[^]', '(?s)\A.\z'), ('[z-a]x', '(?s)\A[a-z]x\z')) t(pattern, regex)""")
 def _(spark, d):

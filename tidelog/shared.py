@@ -29,8 +29,8 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Rows of an Arrow batch at most, so that a Python worker holds little text at a time.
-ARROW_ROWS = 2000
+#: Rows and bytes of an Arrow batch at most, so that a Python worker holds little text at a time.
+ARROW_ROWS, ARROW_BYTES = 2000, 32 * 1024 * 1024
 
 
 def ship(spark: SparkSession) -> None:
@@ -39,6 +39,9 @@ def ship(spark: SparkSession) -> None:
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
         spark.conf.set(rows, str(ARROW_ROWS))
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not _limited(spark, size):
+        spark.conf.set(size, str(ARROW_BYTES))
     if getattr(sc, "_tidelog_shipped", False):
         return
     package = Path(__file__).resolve().parent
@@ -48,3 +51,9 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(package.parent))
     sc.addPyFile(target)
     sc._tidelog_shipped = True
+
+
+def _limited(spark: SparkSession, name: str) -> bool:
+    """Whether the session sets that size itself, to less."""
+    given = str(spark.conf.get(name)).lower().removesuffix("b")
+    return given.isdigit() and 0 < int(given) <= ARROW_BYTES
