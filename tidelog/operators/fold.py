@@ -26,27 +26,40 @@ OVERFLOW = "ERR increment or decrement would overflow"
 NOT_INTEGER = "ERR value is not an integer or out of range"
 
 
-def carried(rows: DataFrame, value: Column, name: str, default: Column) -> DataFrame:
-    """Adds the last non-null `value` of earlier rows of the key, in sequence order."""
+def _sliced(rows: DataFrame) -> DataFrame:
+    """With __slice, once: all steps then share one shuffle by (key, slice)."""
+    return rows if "__slice" in rows.columns else rows.withColumn("__slice", F.floor(F.col("seq") / SLICE))
+
+
+def _carried(rows: DataFrame, value: Column, name: str, default: Column) -> DataFrame:
     within = Window.partitionBy("key", "__slice").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__slice", F.floor(F.col("seq") / SLICE)).withColumn("__v", value)
+    rows = _sliced(rows).withColumn("__v", value)
     # One row a key and slice.
     ends = rows.groupBy("key", "__slice").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col("seq"))).alias("__end"))
     starts = ends.withColumn("__start", F.last("__end", ignorenulls=True).over(earlier)).drop("__end")
     rows = rows.withColumn(name, F.last("__v", ignorenulls=True).over(within))
-    return rows.join(starts, ["key", "__slice"]).withColumn(name, F.coalesce(name, "__start", default)).drop("__slice", "__v", "__start")
+    return rows.join(starts, ["key", "__slice"]).withColumn(name, F.coalesce(name, "__start", default)).drop("__v", "__start")
 
 
-def summed(rows: DataFrame, value: Column, name: str) -> DataFrame:
-    """Adds the running sum of `value` over the key's rows up to and with this one."""
+def carried(rows: DataFrame, value: Column, name: str, default: Column) -> DataFrame:
+    """Adds the last non-null `value` of earlier rows of the key, in sequence order."""
+    return _carried(rows, value, name, default).drop("__slice")
+
+
+def _summed(rows: DataFrame, value: Column, name: str) -> DataFrame:
     within = Window.partitionBy("key", "__slice").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__slice", F.floor(F.col("seq") / SLICE)).withColumn("__v", value)
+    rows = _sliced(rows).withColumn("__v", value)
     parts = rows.groupBy("key", "__slice").agg(F.sum("__v").alias("__part"))
     starts = parts.withColumn("__start", F.coalesce(F.sum("__part").over(earlier), F.lit(0))).drop("__part")
     rows = rows.withColumn(name, F.sum("__v").over(within))
-    return rows.join(starts, ["key", "__slice"]).withColumn(name, F.coalesce(F.col(name), F.lit(0)) + F.col("__start")).drop("__slice", "__v", "__start")
+    return rows.join(starts, ["key", "__slice"]).withColumn(name, F.coalesce(F.col(name), F.lit(0)) + F.col("__start")).drop("__v", "__start")
+
+
+def summed(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds the running sum of `value` over the key's rows up to and with this one."""
+    return _summed(rows, value, name).drop("__slice")
 
 
 def valid(commands: DataFrame) -> DataFrame:
@@ -59,18 +72,22 @@ def counter_argument() -> Column:
     return F.when(F.col("arg").isNotNull() & (F.col("arg") != ""), counter_value(F.col("arg")))
 
 
-def existence(commands: DataFrame) -> DataFrame:
-    """Adds present_before and applies."""
+def _existence(commands: DataFrame) -> DataFrame:
     effect = F.when(F.col("cmd").isin("SET", "SETNX", "GETSET", "APPEND", "INCRBY"), True).when(F.col("cmd") == "DEL", False)
-    rows = carried(commands, effect, "present_before", F.lit(False))
+    rows = _carried(commands, effect, "present_before", F.lit(False))
     applies = F.when(F.col("cmd") == "SETNX", ~F.col("present_before")).when(F.col("cmd") == "SETXX", F.col("present_before")).otherwise(F.col("cmd") != "GET")
     return rows.withColumn("applies", applies)
 
 
+def existence(commands: DataFrame) -> DataFrame:
+    """Adds present_before and applies."""
+    return _existence(commands).drop("__slice")
+
+
 def segments(commands: DataFrame) -> DataFrame:
     """Applied commands with `segment`: the number of replacing or deleting commands of the key so far."""
-    rows = existence(commands).where("applies")
-    return summed(rows, F.col("cmd").isin(*REPLACING, "DEL").cast("bigint"), "segment")
+    rows = _existence(commands).where("applies")
+    return _summed(rows, F.col("cmd").isin(*REPLACING, "DEL").cast("bigint"), "segment").drop("__slice")
 
 
 def needs_exact(rows: DataFrame) -> DataFrame:
@@ -152,8 +169,8 @@ def set_xx_replies(commands: DataFrame) -> DataFrame:
 def previous_values(commands: DataFrame) -> DataFrame:
     """(seq, key, reply): the value before each GETSET, for logs of SET, SETNX, SETXX, GETSET and DEL."""
     state = F.when(F.col("cmd") == "DEL", F.struct(F.lit(None).cast("string").alias("v"))).when(F.col("cmd").isin(*REPLACING), F.struct(F.col("arg").alias("v")))
-    rows = existence(commands.where(F.col("cmd").isin(*REPLACING, "DEL"))).where("applies")
-    got = carried(rows, state, "before", F.lit(None).cast("struct<v:string>"))
+    rows = _existence(commands.where(F.col("cmd").isin(*REPLACING, "DEL"))).where("applies")
+    got = _carried(rows, state, "before", F.lit(None).cast("struct<v:string>"))
     return got.where("cmd = 'GETSET'").select("seq", "key", F.col("before.v").alias("reply"))
 
 
@@ -173,7 +190,7 @@ def counter_replies(commands: DataFrame) -> DataFrame:
     delta = F.when(F.col("cmd") == "INCRBY", counter_argument().cast("decimal(38,0)")).otherwise(F.coalesce(start, F.lit(0)).cast("decimal(38,0)"))
     part = rows.withColumn("__key", F.col("key")).withColumn("key", F.struct("key", "segment"))
     part = part.withColumn("bad", (F.col("cmd").isin(*REPLACING) & start.isNull()).cast("bigint"))
-    part = summed(summed(part, delta, "total"), F.col("bad"), "broken").where("cmd = 'INCRBY'")
+    part = _summed(_summed(part, delta, "total"), F.col("bad"), "broken").where("cmd = 'INCRBY'")
     inside = F.col("total").between(F.lit(LOW).cast("decimal(38,0)"), F.lit(HIGH).cast("decimal(38,0)"))
     error = F.when(F.col("broken") > 0, F.lit(NOT_INTEGER)).when(~inside, F.lit(OVERFLOW))
     return part.select("seq", F.col("__key").alias("key"), F.when(error.isNull(), F.col("total").cast("bigint")).alias("reply"), error.alias("error"))
