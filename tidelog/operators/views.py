@@ -29,19 +29,22 @@ def as_of(log: DataFrame, seq: int) -> DataFrame:
 
 
 def as_of_many(probes: DataFrame, log: DataFrame) -> DataFrame:
-    """probes (key, snapshot, ...) with the value each sees, null for misses: an as-of join by one sort a key.
+    """probes (key, snapshot, ...) with the value each sees, null for misses: an as-of join by one sort a key and slice.
 
-    Probes and versions are one stream per key in sequence order, so no pairs are made.
+    Probes and versions are one stream per key in sequence order, so no pairs are made; a hot key's stream is cut
+    into slices of sequence numbers, each begun with what the slices before it leave.
     """
+    from tidelog.operators.fold import carried
+
     columns = [c for c in probes.columns if c not in ("key", "snapshot")]
-    left = probes.select("key", F.col("snapshot").alias("__at"), F.lit(1).alias("__probe"), F.struct(*columns or [F.lit(1).alias("one")]).alias("__rest"), F.lit(None).cast("tinyint").alias("kind"), F.lit(None).cast(log.schema["value"].dataType).alias("value"))
+    kind = log.schema["value"].dataType
+    left = probes.select("key", F.col("snapshot").alias("__at"), F.lit(1).alias("__probe"), F.struct(*columns or [F.lit(1).alias("one")]).alias("__rest"), F.lit(None).cast("tinyint").alias("kind"), F.lit(None).cast(kind).alias("value"))
     right = log.select("key", F.col("seq").alias("__at"), F.lit(0).alias("__probe"), F.lit(None).cast(left.schema["__rest"].dataType).alias("__rest"), "kind", "value")
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("key").orderBy("__at", "__probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = F.last(F.when(F.col("__probe") == 0, F.struct("kind", "value")), ignorenulls=True).over(before)
-    both = left.unionByName(right).withColumn("__seen", seen).where("__probe = 1")
-    return both.select("key", F.col("__at").alias("snapshot"), *[F.col(f"__rest.{c}").alias(c) for c in columns], F.when(F.col("__seen.kind") == PUT, F.col("__seen.value")).alias("value"))
+    # A probe comes after the version of its own sequence number.
+    both = left.unionByName(right).withColumn("seq", F.col("__at") * 2 + F.col("__probe"))
+    version = F.when(F.col("__probe") == 0, F.struct("kind", "value"))
+    seen = carried(both, version, "__seen", F.lit(None).cast(both.select(version.alias("v")).schema["v"].dataType)).where("__probe = 1")
+    return seen.select("key", F.col("__at").alias("snapshot"), *[F.col(f"__rest.{c}").alias(c) for c in columns], F.when(F.col("__seen.kind") == PUT, F.col("__seen.value")).alias("value"))
 
 
 def history(log: DataFrame) -> DataFrame:
