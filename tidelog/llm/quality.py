@@ -18,14 +18,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import SPACE, Scratch, let, table, text_words
+from tidelog.llm.common import SPACE, let, table, text_words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Rows on which costs and rejections are measured; they decide the order of rules, never a verdict.
-SAMPLE_ROWS = 400
+SAMPLE_ROWS, SAMPLE_BYTES = 400, 32_768
 #: Times that each sampled text is tested, so that a rule's work stands out from a job's own cost.
-COPIES = 8
+COPIES = 3
 
 
 def word_chars(text: Column, words: Column) -> Column:
@@ -109,15 +109,17 @@ RULES = (
 
 
 def rule_order(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by falling rejection per second, as measured on a sample of `sample_rows` texts.
+    """Rules by falling rejection per second, as measured on `sample_rows` texts of SAMPLE_BYTES at most.
 
-    The sample is a table in the shared folder, so its texts never reach the driver. A rule's cost is what its job takes on
+    The sample is read from the table's first partitions, as far as needed. A rule's cost is what its job takes on
     COPIES of each text beyond a job that only reads them; each job runs twice, and the faster run counts, without the
     planning and compiling of the first.
     """
-    scratch = Scratch(docs.sparkSession, "quality")
-    held = scratch.write(docs.select("text").sample(0.5, seed=7).limit(sample_rows), "sample")
-    texts = held.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES))))
+    few = docs.select("text").where(F.octet_length("text") <= SAMPLE_BYTES).sample(0.5, seed=7).limit(sample_rows)
+    rows = [(r[0],) for r in few.collect()]
+    if not rows:
+        return list(rules)
+    texts = docs.sparkSession.createDataFrame(rows, "text string").coalesce(1).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES))))
 
     def timed(rejects: Column) -> tuple[float, int, int]:
         job = texts.agg(F.sum(F.coalesce(rejects, F.lit(False)).cast("long")).alias("n"), F.count("*").alias("of"))
@@ -130,11 +132,10 @@ def rule_order(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) ->
 
     idle, _, of = timed(F.octet_length("text") < 0)
     score = {}
-    for rule in rules if of else ():
+    for rule in rules:
         took, n, _ = timed(of_text(F.col("text"), rule.rejects))
         score[rule.name] = (n / of + 1e-4) / max(took - idle, 1e-3)
-    scratch.drop("sample")
-    return sorted(rules, key=lambda r: -score.get(r.name, 0.0))
+    return sorted(rules, key=lambda r: -score[r.name])
 
 
 def verdict(order: list[Rule], signal) -> Column:
