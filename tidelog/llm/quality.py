@@ -139,11 +139,20 @@ def rule_order(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def verdict(order: list[Rule], signal) -> Column:
-    """True where no rule rejects: a chain of CASE branches, so later signals are computed only for documents still in."""
-    kept = F.lit(True)
-    for rule in reversed(order):
-        kept = F.when(rule.rejects(signal), F.lit(False)).otherwise(kept)
-    return kept
+    """True where no rule rejects: a chain of CASE branches, so later signals are computed only for documents still in, and each once."""
+
+    def chain(k: int, known: dict[str, Column]) -> Column:
+        if k == len(order):
+            return F.lit(True)
+        new = [name for name in order[k].signals if name not in known]
+
+        def body(found: Column) -> Column:
+            held = known | {name: found[name] for name in new}
+            return F.when(order[k].rejects(held.__getitem__), F.lit(False)).otherwise(chain(k + 1, held))
+
+        return let(F.struct(*[signal(name).alias(name) for name in new]), body) if new else body(F.lit(None))
+
+    return chain(0, {})
 
 
 def quality_signals(docs: DataFrame, rules=RULES) -> DataFrame:
