@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 import textwrap
 
@@ -119,3 +120,63 @@ def test_both_sides_against_a_plain_search(spark):
         else:
             assert r["differences"]
     assert want and got == want
+
+
+def plain_distance(a, b):
+    """The fewest words put in and left out, by the longest common subsequence."""
+    common = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for x, v in enumerate(a):
+        for y, w in enumerate(b):
+            common[x + 1][y + 1] = common[x][y] + 1 if v == w else max(common[x][y + 1], common[x + 1][y])
+    return len(a) + len(b) - 2 * common[-1][-1]
+
+
+def test_notice_beside_a_part_of_itself():
+    """A longer equal run beside a notice must not draw the alignment away from it."""
+    agpl = "this work is licensed under bar the gnu affero general public license version 3 license this work is licensed under the gnu affero general public license,"
+    assert [(r[1], r[3], r[5:]) for r in license_scan.Scanner().scan(agpl)] == [(0, "AGPL-3.0", (0, 1, "+bar"))]
+    mpl = "this source code form subject to the terms of the mozilla public license v. 2.0 license code form is subject to the terms of the mozilla public license, v."
+    assert [(r[1], r[3], r[5:]) for r in license_scan.Scanner().scan(mpl)] == [(0, "MPL-2.0", (1, 0, "-is"))]
+
+
+def test_savings_rank_overlapping_notices():
+    long = next(i for i, t in enumerate(license_scan.TEMPLATES) if t[0] == "Apache-2.0" and "compliance" in t[1])
+    text = license_scan.TEMPLATES[long][1].replace("obtain a copy", "get a copy")
+    scanner = license_scan.Scanner()
+    # The short notice at its beginning is exact, but the long one's dictionary saves more bytes.
+    assert [r[1:4] + r[5:] for r in scanner.scan(text)] == [(0, len(text), "Apache-2.0", 1, 1, "-obtain +get")]
+    scanner.given[long] = scanner.alone
+    scanner.judged.clear()
+    assert [r[2:4] + r[5:] for r in scanner.scan(text)] == [(len("Licensed under the Apache License, Version 2.0"), "Apache-2.0", 0, 0, "")]
+
+
+def test_runs_against_every_span():
+    """Runs are those that a look at every span of the text gives, and differences are the fewest."""
+    rng = random.Random(3)
+    wording = "a b c a d e f b g h a i c k b l m"
+    scanner = license_scan.Scanner([("X", wording, "d k")])
+    theirs, may, some = wording.split(), 2, 0
+    for _ in range(150):
+        text = rng.choices("abcdk", k=rng.randrange(6))
+        for _ in range(2):
+            notice = list(theirs)
+            for _ in range(rng.randrange(4)):
+                notice.insert(rng.randrange(len(notice)), notice.pop(rng.randrange(len(notice))) if rng.random() < 0.5 else rng.choice("abdkx"))
+            text += notice[rng.choice((0, 0, 9)) :] + rng.choices("abcdk", k=rng.randrange(6))
+        near = []
+        for end in range(1, len(text) + 1):
+            spans = [(plain_distance(theirs, text[s:end]), s) for s in range(max(0, end - len(theirs) - may), end) if {"d", "k"} <= set(text[s:end])]
+            if spans and min(spans)[0] <= may:
+                cost, start = min(spans)
+                near.append((cost, start - end, start, end))
+        want, taken = [], set()
+        for cost, _, first, last in sorted(near):
+            if taken.isdisjoint(range(first, last)):
+                taken.update(range(first, last))
+                want.append((cost, first, last))
+        assert scanner.runs(0, text, 0, len(text)) == want, text
+        for cost, first, last in want:
+            missing, extra, notes = scanner.differences(0, text[first:last])
+            assert missing + extra == len(notes.split()) == cost
+            some += 1
+    assert some > 50

@@ -1,10 +1,14 @@
 """License notices found by conditional compression.
 
-Around each word that names a license, the text is aligned with that license's templates word by word; a
-reading counts only if its exact wording differs by few words and keeps every word that names the license.
-It is compressed with zstandard, alone and with the template as a raw dictionary. Of overlapping readings the
-one with the fewest differences stays, then the longest, then the one whose template saves the largest share of bytes; so a text
-with several notices has a row for each. Differences are reported.
+Each run of words that may be a notice is compressed with zstandard, alone and with each template as a raw dictionary.
+The bytes saved rank the templates; from the best down, the first whose exact wording is confirmed is the run's: the run
+must differ from it by few words, by the least number that can be missing or put in, and keep every word that names the
+license. Of overlapping runs the one whose template saves the most bytes stays, then the one with the fewest differences.
+What is left of the text is read again until nothing is confirmed; so a text with several notices has a row for each. Differences are
+reported.
+
+For each place where a template's notice may end, the nearest run that ends there may be a notice, if it is near enough; these
+are found exactly, around the words that name the license, whatever else stands beside them.
 
 A block is a run of sentences with a licensing word, at most GAP others between two of them; so a notice
 inside a long line is a block too. A notice must reach into a block but needn't end with it: full stops and line
@@ -21,8 +25,8 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +99,8 @@ CUE = r"licen[sc]e|free[ \t\r\n]+software|copyright|spdx|public[ \t\r\n]+domain|
 #: Sentences between two with a cue; least share of bytes saved; share of a template's words that may differ.
 GAP, LEAST_SAVED, MAY_DIFFER = 2, 0.25, 0.12
 LEVEL = 3
+#: Judgements kept for when the same words come again; longest run kept.
+JUDGED, JUDGED_CHARS = 4096, 4096
 
 _CUE = re.compile(CUE, re.I)
 _SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?](?!\s)[^\n.!?]*)*(?:[.!?]+(?=\s|$)|\n|$)")
@@ -124,6 +130,16 @@ def blocks(text: str | None) -> list[tuple[int, str]]:
     return [(a + len(t) - len(t.lstrip()), t.strip()) for a, b in out for t in [text[a:b]]]
 
 
+def _least(wanted: list[int], seen: np.ndarray, row: np.ndarray, unit: int) -> np.ndarray:
+    """For each end within seen, the least cost of turning wanted into the words before it: row is that of no words, unit that of a word missing or put in."""
+    along = np.arange(len(row)) * unit
+    for w in wanted:
+        missing = row + unit
+        missing[1:] = np.where(seen == w, np.minimum(missing[1:], row[:-1]), missing[1:])
+        row = np.minimum.accumulate(missing - along) + along
+    return row
+
+
 class Scanner:
     """The templates, compressed forms of them ready."""
 
@@ -132,70 +148,130 @@ class Scanner:
 
         self.templates = [(name, words(text), set(words(key))) for name, text, key in templates]
         self.counts = [Counter(w) for _, w, _ in self.templates]
+        self.ids = {w: k for k, w in enumerate(dict.fromkeys(w for _, theirs, _ in self.templates for w in theirs))}
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.given = [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, w, _ in self.templates]
         self.frame = len(self.alone.compress(b""))
         self.sizes = [max(1, len(self.alone.compress(" ".join(w).encode())) - self.frame) for _, w, _ in self.templates]
         self.keys = set().union(*(key for _, _, key in self.templates))
+        self.judged: dict[str, tuple | None] = {}
 
-    def align(self, i: int, mine: list[str], low: int, high: int) -> tuple | None:
-        """The reading of template i within mine[low:high] as (first, last, missing, extra, differences), if few enough."""
+    def runs(self, i: int, mine: list[str], low: int, high: int) -> list[tuple[int, int, int]]:
+        """(differences, first, last) of the runs within mine[low:high] that may be template i's notices: of overlapping ones the nearest, then the longest, then the first."""
         _, theirs, key = self.templates[i]
         may = int(MAY_DIFFER * len(theirs))
         window = mine[low:high]
         if not key <= set(window) or (self.counts[i] - Counter(window)).total() > may:
-            return None
-        same = [b for b in SequenceMatcher(None, theirs, window, autojunk=False).get_matching_blocks() if b.size]
-        # Words that match by chance before or after the notice are left out.
-        best = None
-        for j in range(len(same)):
-            held = 0
-            for k in range(j, len(same)):
-                held += same[k].size
-                cost = len(theirs) + same[k].b + same[k].size - same[j].b - 2 * held
-                if best is None or cost < best[0]:
-                    best = cost, j, k
-        if best is None or best[0] > may:
-            return None
-        same = same[best[1] : best[2] + 1]
-        missing, extra, notes, at, to = 0, 0, [], 0, same[0].b
-        for block in [*same, None]:
-            a, b, size = (block.a, block.b, block.size) if block else (len(theirs), to, 0)
-            missing, extra = missing + a - at, extra + b - to
-            notes += ["-" + w for w in theirs[at:a]] + ["+" + w for w in window[to:b]]
-            at, to = a + size, b + size
-        first, last = low + same[0].b, low + to
-        return (first, last, missing, extra, " ".join(notes)) if key <= set(mine[first:last]) else None
+            return []
+        wanted = [self.ids[w] for w in theirs]
+        seen = np.fromiter((self.ids.get(w, -1) for w in window), np.int64, len(window))
+        # For each end the nearest run: differences * unit + start, so that of equal ones the longest counts.
+        unit = len(window) + 1
+        nearest = _least(wanted, seen, np.arange(unit), unit)
+        near = []
+        for end in np.flatnonzero(nearest < (may + 1) * unit).tolist():
+            cost, start = divmod(int(nearest[end]), unit)
+            if not key <= set(window[start:end]):
+                # Without a word that names the license: the nearest of the longer runs that have them all.
+                back = max(0, end - len(theirs) - may)
+                if not key <= set(window[back:end]):
+                    continue
+                costs = _least(wanted[::-1], seen[back:end][::-1], np.arange(end - back + 1), 1)
+                named = [(int(costs[end - s]), s) for s in range(back, start) if costs[end - s] <= may and key <= set(window[s:end])]
+                if not named:
+                    continue
+                cost, start = min(named)
+            near.append((cost, start - end, start, end))
+        out, taken = [], bytearray(len(window))
+        for cost, _, first, last in sorted(near):
+            if not any(taken[first:last]):
+                taken[first:last] = b"\1" * (last - first)
+                out.append((cost, low + first, low + last))
+        return out
 
-    def readings(self, mine: list[str]) -> list[tuple]:
-        """(first, last, (license, share of bytes saved, words missing, words changed or put in, differences)): confirmed notices, best first; none overlaps a better one."""
+    def differences(self, i: int, run: list[str]) -> tuple[int, int, str]:
+        """(words missing, words put in, both in order): the fewest that turn template i into the run."""
+        theirs = self.templates[i][1]
+        if run == theirs:
+            return 0, 0, ""
+        rows = [list(range(len(run) + 1))]
+        for a, w in enumerate(theirs, 1):
+            row, above = [a], rows[-1]
+            for b, v in enumerate(run, 1):
+                row.append(above[b - 1] if w == v else 1 + min(above[b], row[-1]))
+            rows.append(row)
+        a, b, missing, extra, notes = len(theirs), len(run), [], [], []
+        n_missing = n_extra = 0
+        while a or b:
+            if a and b and theirs[a - 1] == run[b - 1]:
+                a, b = a - 1, b - 1
+                notes, missing, extra = notes + extra + missing, [], []
+            elif b and (not a or rows[a][b - 1] <= rows[a - 1][b]):
+                b, n_extra = b - 1, n_extra + 1
+                extra.append("+" + run[b])
+            else:
+                a, n_missing = a - 1, n_missing + 1
+                missing.append("-" + theirs[a])
+        return n_missing, n_extra, " ".join(reversed(notes + extra + missing))
+
+    def judge(self, run: str) -> tuple[int, int, int, tuple] | None:
+        """(bytes that the template saves, negative; differences, template, notice) of the first template that is confirmed, from the one that saves most."""
+        if run in self.judged:
+            return self.judged[run]
+        mine, data, got = run.split(" "), run.encode("utf-8", "replace"), None
+        alone = max(1, len(self.alone.compress(data)) - self.frame)
+        saved = [alone - (len(c.compress(data)) - self.frame) for c in self.given]
+        for i in sorted(range(len(saved)), key=lambda i: (-saved[i], i)):
+            if got and -saved[i] > got[0]:
+                break
+            name, theirs, key = self.templates[i]
+            may = int(MAY_DIFFER * len(theirs))
+            if saved[i] < LEAST_SAVED * min(alone, self.sizes[i]) or not key <= set(mine) or (self.counts[i] - Counter(mine)).total() > may:
+                continue
+            missing, extra, notes = self.differences(i, mine)
+            if missing + extra <= may and (got is None or (-saved[i], missing + extra) < got[:2]):
+                got = -saved[i], missing + extra, i, (name, round(saved[i] / alone, 6), missing, extra, notes)
+        if len(run) <= JUDGED_CHARS:
+            if len(self.judged) >= JUDGED:
+                self.judged.clear()
+            self.judged[run] = got
+        return got
+
+    def ranked(self, mine: list[str], low: int, high: int) -> list[tuple[int, int, int, int, int, tuple]]:
+        """(bytes that the template saves, negative; differences, template, first, last, notice) of the confirmed runs within mine[low:high], best first."""
         at: dict[str, list[int]] = {}
-        for p, w in enumerate(mine):
-            if w in self.keys:
-                at.setdefault(w, []).append(p)
-        found = {}
-        for i, (name, theirs, key) in enumerate(self.templates):
-            # A confirmed notice holds each of these words and is at most so long.
+        for p in range(low, high):
+            if mine[p] in self.keys:
+                at.setdefault(mine[p], []).append(p)
+        found = set()
+        for i, (_, theirs, key) in enumerate(self.templates if at else ()):
+            # A notice holds each of these words and is at most so long.
             reach = len(theirs) + int(MAY_DIFFER * len(theirs))
+            around: list[list[int]] = []
             for p in min((at.get(w, []) for w in key), key=len):
-                low, high = max(0, p - reach + 1), p + reach
-                while low <= p < high and (got := self.align(i, mine, low, high)):
-                    first, last = got[:2]
-                    if (first, last, i) not in found:
-                        data = " ".join(mine[first:last]).encode("utf-8", "replace")
-                        alone = max(1, len(self.alone.compress(data)) - self.frame)
-                        saved = 1 - (len(self.given[i].compress(data)) - self.frame) / alone
-                        rank = saved * alone / min(alone, self.sizes[i])
-                        if rank >= LEAST_SAVED:
-                            found[first, last, i] = (got[2] + got[3], first - last, -rank, i, first, last, (name, round(saved, 6), *got[2:]))
-                    if first <= p < last:
-                        break
-                    low, high = (last, high) if last <= p else (low, first)
-        out, taken = [], bytearray(len(mine))
-        for *_, first, last, got in sorted(found.values()):
-            if not any(taken[first:last]):
-                taken[first:last] = b"\1" * (last - first)
-                out.append((first, last, got))
+                if around and p - reach + 1 <= around[-1][1]:
+                    around[-1][1] = min(high, p + reach)
+                else:
+                    around.append([max(low, p - reach + 1), min(high, p + reach)])
+            found.update(run[1:] for a, b in around for run in self.runs(i, mine, a, b))
+        judged = ((self.judge(" ".join(mine[first:last])), first, last) for first, last in found)
+        return sorted((*got[:3], first, last, got[3]) for got, first, last in judged if got)
+
+    def readings(self, mine: list[str]) -> list[tuple]:
+        """(first, last, (license, share of bytes saved, words missing, words changed or put in, differences)): confirmed notices, best first; none overlaps a better one."""
+        out, taken, left = [], bytearray(len(mine)), [(0, len(mine))]
+        while left:
+            low, high = left.pop()
+            new = []
+            for *_, first, last, got in self.ranked(mine, low, high):
+                if not any(taken[first:last]):
+                    taken[first:last] = b"\1" * (last - first)
+                    new.append((first, last, got))
+            out += new
+            # Runs that overlapped a better notice may have others beside it.
+            ends = sorted(found[:2] for found in new)
+            if new:
+                left += [(a, b) for a, b in zip([low, *(last for _, last in ends)], [*(first for first, _ in ends), high]) if a < b]
         return out
 
     def match(self, block: str) -> tuple | None:
