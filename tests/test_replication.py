@@ -138,6 +138,19 @@ def test_bloom_rates(spark):
     assert rates[0] > 2 * rates[1] > 4 * rates[2]
 
 
+def test_bloom_hashes_at_the_end_of_64_bits(spark, tmp_path):
+    """Twice 377696 as a stored key and one more than twice 1833315 as a probe: their hashes plus five steps exceed 64 bits."""
+    from tidelog.queries import QUERIES
+
+    places = metrics._places(F.format_string("key:%012d", "id"), 9_000_000, 6)
+    a, b = F.xxhash64(F.format_string("key:%012d", "id")), F.xxhash64(F.format_string("key:%012d", "id"), F.lit(1))
+    for r in spark.createDataFrame([(755392,), (3666631,), (1,), (2,)], "id bigint").select(a.alias("a"), b.alias("b"), places.alias("at")).collect():
+        assert r["at"] == [(r["a"] + r["b"] % (1 << 40) * i) % 9_000_000 for i in range(6)]
+    for name, ids in (("some", [*range(1000), 377696, 1833315]), ("none", [])):
+        spark.createDataFrame([(i,) for i in ids], "o_orderkey bigint").write.parquet(f"{tmp_path}/{name}/orders.parquet")
+        assert [tuple(r) for r in QUERIES["bloom_measured"](spark, f"{tmp_path}/{name}").collect()] == [(len(ids), True)]
+
+
 def test_configurations_are_the_entries_of_kind_2(spark, sf, monkeypatch):
     from pyspark.sql import functions as F
 

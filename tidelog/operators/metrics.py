@@ -85,9 +85,9 @@ def bloom_filter(keys: DataFrame, key: str, n: int, bits_per_key: int) -> DataFr
 
 
 def _places(key: Column, bits: int, hashes: int) -> Column:
-    """Double hashing: places of a key's bits."""
-    a, b = F.xxhash64(key), F.xxhash64(key, F.lit(1))
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(a + F.pmod(b, F.lit(1 << 40)) * i, F.lit(bits)))
+    """Double hashing: places of a key's bits. Remainders are added, as a whole hash plus its steps can leave 64 bits."""
+    a, b = F.pmod(F.xxhash64(key), F.lit(bits)), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 40))
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(a + b * i, F.lit(bits)))
 
 
 def bloom_probe(probes: DataFrame, key: str, words: DataFrame, n: int, bits_per_key: int) -> DataFrame:
