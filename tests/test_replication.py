@@ -56,6 +56,23 @@ def test_follower_append(spark):
     assert [r[0] for r in consensus.append_gaps(make([(1, 1), (2, 1), (5, 2), (6, 2)])).collect()] == [5]
 
 
+def test_a_snapshot_outranks_the_whole_log(spark, sf, tmp_path):
+    from tests.oracle import connect, same
+    from tidelog.operators import views
+    from tidelog.queries import QUERIES, SQL
+
+    log = spark.createDataFrame([("a", 5, 1, "old"), ("b", 40, 1, "x"), ("c", 50, 0, None), ("d", 45, 1, "y")], "key string, seq bigint, kind tinyint, value string")
+    image = spark.createDataFrame([("a", "new"), ("c", "back"), ("d", "y")], "key string, value string")
+    for before, first, seq in ((log, 10, 51), (log, 100, 100), (log.limit(0), 10, 10)):
+        ops = consensus.replace_by_snapshot(before, image, first)
+        assert {r["seq"] for r in ops.collect()} == {seq}
+        assert sorted((r["key"], r["value"]) for r in views.current(before.unionByName(ops)).collect()) == [("a", "new"), ("c", "back"), ("d", "y")]
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.withColumn("event_id", F.col("event_id") + 2_000_000).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("snapshot_replaced_state", "snapshot_replace_deletes"):
+        same(QUERIES[name](spark, str(tmp_path)), connect(str(tmp_path)), SQL[name])
+
+
 def test_votes(spark):
     requests = [("v", 1, "a", 1, True), ("v", 2, "b", 1, True), ("v", 3, "a", 1, True), ("v", 4, "b", 2, False), ("v", 5, "c", 2, True), ("v", 6, "a", 1, True)]
     df = spark.createDataFrame(requests, "voter string, seq bigint, candidate string, term bigint, fresh boolean")

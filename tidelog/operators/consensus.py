@@ -155,10 +155,13 @@ def chunk_errors(chunks: DataFrame) -> DataFrame:
 
 
 def replace_by_snapshot(log: DataFrame, image: DataFrame, first_seq: int) -> DataFrame:
-    """Ops that turn the store into the image (key, value): puts of all pairs, tombstones for keys it lacks."""
+    """Ops that turn the store into the image (key, value): puts of all pairs, tombstones for keys it lacks. Their sequence number
+    is first_seq, or the one after the log's last if that is higher, so that no version of the log hides them."""
+    seq = F.greatest(F.lit(first_seq).cast("bigint"), log.agg(F.max("seq") + 1).scalar())
     gone = current(log).select("key").join(image.select("key"), "key", "left_anti")
-    puts = image.select("key", F.lit(first_seq).cast("bigint").alias("seq"), F.lit(1).cast("tinyint").alias("kind"), "value")
-    return puts.unionByName(gone.select("key", F.lit(first_seq).cast("bigint").alias("seq"), F.lit(DELETE).cast("tinyint").alias("kind"), F.lit(None).cast(image.schema["value"].dataType).alias("value")))
+    puts = image.select("key", F.lit(1).cast("tinyint").alias("kind"), "value")
+    ops = puts.unionByName(gone.select("key", F.lit(DELETE).cast("tinyint").alias("kind"), F.lit(None).cast(image.schema["value"].dataType).alias("value")))
+    return ops.select("key", seq.alias("seq"), "kind", "value")
 
 
 def applied_prefix(log: DataFrame, applied: int, commit: int) -> DataFrame:
